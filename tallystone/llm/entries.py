@@ -4,20 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, suffix
+from . import decontam, linededup, simhash, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.shared_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash_groups, op10_suffix_passages)}
+QUERIES = {f.__name__: f for f in (op5_near_lines, op6_simhash_groups, op7_benchmark_leaks, op10_suffix_passages)}
 SQL: dict[str, str] = {}

@@ -61,3 +61,37 @@ def map_blob(path: str) -> np.ndarray:
     fs, name = pafs.FileSystem.from_uri(path)
     with fs.open_input_stream(name) as f:
         return np.frombuffer(f.read(), np.uint8)
+
+
+def sorted_lists(values: DataFrame, name: str) -> list[tuple[int, int, str]]:
+    """A column of distinct longs as sorted files in the shared folder, one for each range: (smallest, largest, path).
+
+    Executors map the files and look up by binary search, so nothing of their size goes through the driver.
+    """
+    import pyarrow as pa
+
+    path = new_path(values.sparkSession, name)
+
+    def save(batches):
+        got = [b.column(0).to_numpy() for b in batches if b.num_rows]
+        if got:
+            v = np.sort(np.concatenate(got))
+            to = f"{path}/{v[0]}.i64"
+            write_blob(to, v.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([v[0]]), pa.array([v[-1]]), pa.array([to])], ["lo", "hi", "path"])
+
+    column = values.columns[0]
+    parts = values.repartitionByRange(column).mapInArrow(save, "lo long, hi long, path string")
+    return sorted((r.lo, r.hi, r.path) for r in parts.collect())
+
+
+def in_lists(lists: list[tuple[int, int, str]], values: np.ndarray) -> np.ndarray:
+    """Which of the sorted values are in the lists."""
+    out = np.zeros(len(values), bool)
+    for lo, hi, path in lists:
+        i, j = np.searchsorted(values, lo), np.searchsorted(values, hi, "right")
+        if i < j:
+            v = map_blob(path).view(np.int64)
+            at = np.searchsorted(v, values[i:j])
+            out[i:j] = v[np.minimum(at, len(v) - 1)] == values[i:j]
+    return out
