@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, simhash, suffix
+from . import decontam, linededup, quality, simhash, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeated_lines(table(spark, sf_dir, "documents"))
 
@@ -27,5 +31,5 @@ def op10_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.shared_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_near_lines, op6_simhash_groups, op7_benchmark_leaks, op10_suffix_passages)}
+QUERIES = {f.__name__: f for f in (op4_quality_scores, op5_near_lines, op6_simhash_groups, op7_benchmark_leaks, op10_suffix_passages)}
 SQL: dict[str, str] = {}
