@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, quality, simhash, suffix
+from . import decontam, eftrie, linededup, quality, simhash, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +27,14 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return eftrie.scores(docs, eftrie.train(docs))
+
+
 def op10_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.shared_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_scores, op5_near_lines, op6_simhash_groups, op7_benchmark_leaks, op10_suffix_passages)}
+QUERIES = {f.__name__: f for f in (op4_quality_scores, op5_near_lines, op6_simhash_groups, op7_benchmark_leaks, op9_corpus_scores, op10_suffix_passages)}
 SQL: dict[str, str] = {}
