@@ -176,7 +176,7 @@ def shard_pairs(n, hi, lo, id, home, radius: int, ratio: float) -> list[tuple[np
 def near_pairs(prints: DataFrame, radius: int = RADIUS, ratio: float = RATIO, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """All pairs (a, b, bits), a < b, within the radius, of distinct fingerprints (id, n, hi, lo)."""
     total = prints.count()
-    part = prints.where(F.abs(F.xxhash64("hi", "lo", "n", F.lit(3)) / 2.0**63) < sample / max(total, 1)).toPandas() if total > shard else prints.limit(0).toPandas()
+    part = prints.where(F.xxhash64("hi", "lo", "n", F.lit(3)) / 2.0**64 + 0.5 < sample / max(total, 1)).toPandas() if total > shard else prints.limit(0).toPandas()
     nodes = build_tree(part["n"].to_numpy(), part["hi"].to_numpy().view(U), part["lo"].to_numpy().view(U), -(-total // shard), radius, ratio)
 
     def spread(batches):
