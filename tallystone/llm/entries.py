@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio, decontam, eftrie, lattice, linededup, quality, sharding, simhash, suffix
+from . import audio, decontam, eftrie, lattice, licences, linededup, quality, sharding, simhash, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op2_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.encode(table(spark, sf_dir, "documents"), model_proto(), k=2)
 
 
+def op3_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.licences(docs, licences.train(docs))
+
+
 def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,5 +66,5 @@ def op10_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.shared_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_telephony_pcm, op2_sampled_segmentations, op4_quality_scores, op5_near_lines, op6_simhash_groups, op7_benchmark_leaks, op8_range_shards, op9_corpus_scores, op10_suffix_passages)}
+QUERIES = {f.__name__: f for f in (op1_telephony_pcm, op2_sampled_segmentations, op3_licence_paragraphs, op4_quality_scores, op5_near_lines, op6_simhash_groups, op7_benchmark_leaks, op8_range_shards, op9_corpus_scores, op10_suffix_passages)}
 SQL: dict[str, str] = {}
