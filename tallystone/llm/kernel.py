@@ -54,12 +54,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+class Hasher:
+    """Hashes of runs of values; equal runs have equal hashes wherever they are."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        n = len(values)
+        up, self.down = powers(base, n + 1)
+        self.total = np.empty(n + 1, U)
+        self.total[0] = 0
+        np.cumsum(values * up[:n], out=self.total[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(U))
+
+
 def window_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of values[start:end]; equal runs have equal hashes wherever they are."""
-    up, down = powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+    """Hashes of values[start:end]."""
+    return Hasher(values, base)(start, end)
 
 
 @dataclass

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .kernel import P, U, folded, mix, signed, slices, texts, window_hash
+from .kernel import Hasher, P, U, folded, mix, signed, slices, texts
 from .shared import in_lists, sorted_lists, stash
 
 TAU, SHORTEST = 2, 24
@@ -45,20 +45,25 @@ class Lines:
         if n:
             doc = np.searchsorted(offs, start, "right") - 1
             number = np.arange(len(start)) - np.searchsorted(start, offs[doc])
-            line = np.cumsum(edge[:n]) - 1
-            after = np.concatenate([[True], blank[:-1]]) | edge[:n]
-            at = np.flatnonzero(~blank | (blank & ~after))  # one blank of each run, none at a line's start
-            line = line[at]
-            last = np.concatenate([line[1:] != line[:-1], [True]]) if len(at) else np.zeros(0, bool)
-            keep = ~(last & blank[at])
-            at, line = at[keep], line[keep]
-            byte = data[at].copy()
-            byte[blank[at]] = 32
-            lead = (byte & 0xC0) != 0x80
-            first = np.flatnonzero(lead)
-            b = [byte[np.minimum(first + i, len(byte) - 1)].astype(np.int32) for i in range(4)] if len(byte) else [np.zeros(0, np.int32)] * 4
-            cp = np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, (b[0] & 31) << 6 | b[1] & 63, np.where(b[0] < 0xF0, (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63, (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | b[3] & 63)))
-            count = np.bincount(line[first], minlength=len(start))
+            skip = blank.copy()  # keep one blank of each run, none at a line's start or end
+            skip[1:] &= blank[:-1] | edge[1:n]
+            at = np.flatnonzero(~skip)
+            byte = data[at]
+            white = blank[at]
+            byte[white] = 32
+            ends = np.searchsorted(at, np.append(start[1:], n)) - 1
+            ends = ends[(ends >= 0) & (at[np.maximum(ends, 0)] >= start)] if len(at) else ends[:0]
+            gone = ends[white[ends]]
+            if len(gone):
+                byte, at = np.delete(byte, gone), np.delete(at, gone)
+            first = np.flatnonzero((byte & 0xC0) != 0x80)
+            cp = byte[first].astype(np.int32)
+            far = np.flatnonzero(cp >= 0xC0)
+            if len(far):
+                b = [byte[np.minimum(first[far] + i, len(byte) - 1)].astype(np.int32) for i in range(4)]
+                cp[far] = np.where(b[0] < 0xE0, (b[0] & 31) << 6 | b[1] & 63, np.where(b[0] < 0xF0, (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63, (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | b[3] & 63))
+            bounds = np.searchsorted(at[first], np.append(start, n))
+            count = np.diff(bounds)
             use = count >= shortest
             self.chars = cp[np.repeat(use, count)]
             self.off = np.concatenate([[0], np.cumsum(count[use])])
@@ -66,8 +71,8 @@ class Lines:
         else:
             self.chars, self.off = np.zeros(0, np.int32), np.zeros(1, np.int64)
             self.doc = self.number = np.zeros(0, np.int64)
-        self.values = mix(self.chars.astype(U) + U(1))
-        self.key = window_hash(self.values, self.off[:-1], self.off[1:], P) & ~U(1)
+        self.hasher = Hasher(self.chars.astype(U) + U(1), P)
+        self.key = self.hasher(self.off[:-1], self.off[1:]) & ~U(1)
 
     def distinct(self) -> np.ndarray:
         """One of each line, in the order of signed keys."""
@@ -82,12 +87,12 @@ def segment(length: np.ndarray, i: int, tau: int) -> tuple[np.ndarray, np.ndarra
 
 
 def signatures(lines: Lines, which: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line) of segments, whose line has its last bit set, and of the substrings that may equal one."""
+    """(hash, line) of segments, whose line has its last bit set, and of the other substrings that may equal one."""
     keys, names = [], []
     begin, length, name = lines.off[which], lines.off[which + 1] - lines.off[which], lines.key[which]
 
     def add(rows, at, size, short, i, mark):
-        keys.append(mix(window_hash(lines.values, at, at + size, P) ^ mix((short * 64 + i).astype(U))))
+        keys.append(mix(lines.hasher(at, at + size) ^ mix((short * 64 + i).astype(U))))
         names.append(name[rows] | U(mark))
 
     for i in range(tau + 1):
@@ -97,6 +102,8 @@ def signatures(lines: Lines, which: np.ndarray, tau: int) -> tuple[np.ndarray, n
             short = length - less
             at, size = segment(short, i, tau)
             for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
+                if not less and not shift:
+                    continue  # the segment itself
                 rows = np.flatnonzero((short > tau) & (at + shift >= 0) & (at + shift + size <= length))
                 add(rows, begin[rows] + at[rows] + shift, size[rows], short[rows], i, 0)
     return np.concatenate(keys), np.concatenate(names)
@@ -134,6 +141,11 @@ def within(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, tau: in
 
 def near_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", tau: int = TAU, shortest: int = SHORTEST) -> DataFrame:
     """(a, b, distance) of distinct lines within tau of each other, by their hashes, a < b."""
+    return _search(docs, id, text, tau, shortest)[0]
+
+
+def _search(docs: DataFrame, id: str, text: str, tau: int, shortest: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs of near_lines, and (name, doc, line) of all lines."""
     if tau < 1 or shortest <= 2 * tau + 2:
         raise ValueError("tau must be 1 or more, and lines longer than 2 * tau + 2")
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
@@ -151,6 +163,13 @@ def near_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", tau: int
         if not got:
             return
         key, line = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+        order = np.argsort(key)
+        key, line = key[order], line[order]
+        same = np.concatenate([[False], key[1:] == key[:-1]])
+        some = np.flatnonzero(same | np.append(same[1:], False))  # most keys are alone
+        if not len(some):
+            return
+        key, line = key[some], line[some]
         order = np.lexsort((line, key))
         key, line = key[order], line[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])])
@@ -158,17 +177,17 @@ def near_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", tau: int
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([start, [len(key)]]))
         marked = (line & 1).astype(bool)
-        some = np.add.reduceat(marked.astype(np.int64), start)
-        for s, n in zip(start[(some > 0) & (size > some)].tolist(), size[(some > 0) & (size > some)].tolist()):
+        hit = (np.add.reduceat(marked.astype(np.int64), start) > 0) & (size > 1)
+        for s, n in zip(start[hit].tolist(), size[hit].tolist()):
             group = line[s : s + n]
-            own, other = group[marked[s : s + n]] & ~1, group[~marked[s : s + n]]
+            own, other = group[marked[s : s + n]] & ~1, group & ~1
             step = max(1, (1 << 20) // len(other))
             for i in range(0, len(own), step):
                 a, b = np.repeat(own[i : i + step], len(other)), np.tile(other, len(own[i : i + step]))
                 ok = a != b
                 if ok.any():
                     held.append((np.minimum(a, b)[ok], np.maximum(a, b)[ok]))
-                if sum(len(h[0]) for h in held[-64:]) > 1 << 18 or len(held) > 4096:
+                if len(held) > 2048 or (held and len(held[-1][0]) > 1 << 16):
                     yield _pairs(held)
         if held:
             yield _pairs(held)
@@ -183,9 +202,13 @@ def near_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", tau: int
                 lines = Lines(*texts(part.column("text"))[:2], shortest)
                 at = lines.distinct()
                 at = at[in_lists(wanted, signed(lines.key[at]))]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(lines.key[at])), pa.array([lines.chars[lines.off[i] : lines.off[i + 1]].tobytes() for i in at.tolist()], pa.binary())], ["v", "chars"])
+                chars = np.full(len(lines.key), None, object)
+                for i in at.tolist():
+                    chars[i] = lines.chars[lines.off[i] : lines.off[i + 1]].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(signed(lines.key)), part.column("id").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(chars, pa.binary())], ["name", "doc", "line", "chars"])
 
-    lines = stash(docs.mapInArrow(fetch, "v long, chars binary").dropDuplicates(["v"]), "lines")
+    places = stash(docs.mapInArrow(fetch, "name long, doc long, line int, chars binary"), "places")
+    lines = places.where("chars is not null").select(F.col("name").alias("v"), "chars").dropDuplicates(["v"])
     pairs = candidates.join(lines.select(F.col("v").alias("a"), F.col("chars").alias("x")), "a").join(lines.select(F.col("v").alias("b"), F.col("chars").alias("y")), "b")
 
     def verify(batches):
@@ -210,7 +233,7 @@ def near_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", tau: int
             ok = np.flatnonzero(dist <= tau)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(ok)), batch.column("b").take(pa.array(ok)), pa.array(dist[ok].astype(np.int32))], ["a", "b", "distance"])
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, distance int")
+    return pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, distance int"), places.select("name", "doc", "line")
 
 
 def _pairs(held: list) -> pa.RecordBatch:
@@ -224,15 +247,8 @@ def _pairs(held: list) -> pa.RecordBatch:
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", tau: int = TAU, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, line, first_doc_id, first_line, exact): each line that isn't the first of its group, and that first line."""
-    pairs = stash(near_lines(docs, id, text, tau, shortest), "near-lines")
-    roots = stash(components(pairs.select("a", "b")).withColumnRenamed("node", "name"), "line-groups")
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-
-    def places(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                lines = Lines(*texts(part.column("text"))[:2], shortest)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(lines.key)), part.column("id").take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32))], ["name", "doc", "line"])
+    pairs, places = _search(docs, id, text, tau, shortest)
+    roots = stash(components(stash(pairs, "near-lines").select("a", "b")).withColumnRenamed("node", "name"), "line-groups")
 
     def firsts(batches):
         got = [b for b in batches if b.num_rows]
@@ -248,7 +264,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", tau:
         lead = lead[again]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[again], line[again], doc[lead], line[lead], name[again] == name[lead])], ["doc", "line", "d", "l", "exact"])
 
-    found = rows.mapInArrow(places, "name long, doc long, line int").join(roots, "name", "left")
+    found = places.join(roots, "name", "left")
     found = found.select("name", F.coalesce("root", "name").alias("group"), "doc", "line").repartition("group")
     found = found.mapInArrow(firsts, "doc long, line int, d long, l int, exact boolean")
     return found.select(F.col("doc").alias(id), "line", F.col("d").alias(f"first_{id}"), F.col("l").alias("first_line"), "exact")
