@@ -1 +1 @@
-
+"""Structured Streaming over the sessions folder."""
