@@ -23,6 +23,7 @@ ids give a null text. An empty table gives none.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from .kernel import P, U, mix, powers, slices, texts, window_hash
 
 SPACE = 0x2581
-SLICE = 3 << 19
+SLICE = 1 << 19
 
 
 class Vocabulary:
@@ -129,7 +130,7 @@ class Lattices:
             hit = got >= 0
             start.append(at[hit].astype(np.int32))
             size.append(np.full(hit.sum(), length, np.int32))
-            piece.append(got[hit])
+            piece.append(got[hit].astype(np.int32))
             if length == 1:
                 single[at[hit]] = True
             at = at[got > -2]
@@ -138,21 +139,24 @@ class Lattices:
         lone = np.flatnonzero(~single)
         start.append(lone.astype(np.int32))
         size.append(np.ones(len(lone), np.int32))
-        piece.append(-1 - chars[lone].astype(np.int64))  # a character without a piece
+        piece.append((-1 - chars[lone]).astype(np.int32))  # a character without a piece
         start, size, piece = (np.concatenate(x[::-1]) for x in (start, size, piece))
         order = np.argsort(start, kind="stable")
-        start, size, self.piece = start[order], size[order], piece[order].astype(np.int64)
+        start, size, self.piece = start[order], size[order], piece[order]
+        del order, piece, values, total, at
         w = np.empty(len(start))
         whole = self.piece >= 0
         w[whole] = v.weight[self.piece[whole]]
         w[~whole] = [v.weight[spell(v, int(-1 - c))].sum() for c in self.piece[~whole]]
         self.w = w
-        node = start + word[start]
+        node = (start + word[start]).astype(np.int32)
         self.to = node + size
+        del size
         nodes = n + len(off) - 1
         self.first = np.searchsorted(node, np.arange(nodes + 1))
         self.root, self.end = off[:-1] + np.arange(len(off) - 1), off[1:] + np.arange(len(off) - 1)
-        far = left[start]
+        far = left[start].astype(np.int32)
+        del start, left, word
         beta = np.full(nodes, -np.inf)
         beta[self.end] = 0
         order = np.argsort(np.minimum(far, 65535).astype(np.uint16), kind="stable")
@@ -169,6 +173,7 @@ class Lattices:
             count = np.diff(np.concatenate([s, [len(e)]]))
             beta[f[s]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count)), s))
         self.beta = beta
+        del order, ranked, far
         share = np.exp(w + beta[self.to] - beta[node])
         run = np.cumsum(share)
         self.upto = run - np.repeat(np.concatenate([[0], run])[self.first[:-1]], np.diff(self.first))
@@ -203,21 +208,19 @@ class Lattices:
         return edges, off, np.add.reduceat(self.w[edges], off[:-1]) - self.beta[self.root[words]]
 
     def sample_but(self, word: int, but: list[tuple[int, ...]], draw) -> tuple[int, ...]:
-        """A sample of a word's segmentations (as edges) other than those in but."""
-        node, path, base = int(self.root[word]), (), 0.0
-        while node != self.end[word]:
-            some = range(self.first[node], self.first[node + 1])
-            mass = []
-            for e in some:
-                m = np.exp(base + self.w[e] + self.beta[self.to[e]] - self.beta[self.root[word]])
-                for x in but:
-                    if x[: len(path) + 1] == path + (e,):
-                        m -= np.exp(self.logp(word, x))
-                mass.append(max(m, 0.0))
-            # what rounding leaves of a path that is excluded must not be drawn
-            for i, e in enumerate(some):
-                if self.to[e] == self.end[word] and path + (e,) in but:
-                    mass[i] = 0.0
+        """A sample of a word's segmentations (as edges) other than those in but; empty if rounding leaves none."""
+        node, end, path, base = int(self.root[word]), int(self.end[word]), (), -float(self.beta[self.root[word]])
+        left = [(x, math.exp(self.logp(word, x))) for x in but]
+        while node != end:
+            lo, hi = int(self.first[node]), int(self.first[node + 1])
+            to = self.to[lo:hi].tolist()
+            mass = np.exp(base + self.w[lo:hi] + self.beta[self.to[lo:hi]]).tolist()
+            n = len(path)
+            for x, p in left:
+                mass[x[n] - lo] -= p
+                if to[x[n] - lo] == end:
+                    mass[x[n] - lo] = 0.0  # whatever rounding leaves of an excluded path
+            mass = [m if m > 0 else 0.0 for m in mass]
             total = sum(mass)
             if total <= 0:
                 return ()
@@ -227,14 +230,14 @@ class Lattices:
                 i += 1
             while mass[i] == 0:
                 i -= 1
-            e = some[i]
-            path += (e,)
-            base += self.w[e]
-            node = int(self.to[e])
-        return path if path not in but else ()
+            path += (lo + i,)
+            base += float(self.w[lo + i])
+            node = to[i]
+            left = [(x, p) for x, p in left if x[n] == lo + i]
+        return path
 
     def logp(self, word: int, path: tuple[int, ...]) -> float:
-        return float(sum(self.w[e] for e in path) - self.beta[self.root[word]])
+        return float(self.w[list(path)].sum() - self.beta[self.root[word]])
 
 
 def spell(v: Vocabulary, char: int) -> np.ndarray:
@@ -282,87 +285,101 @@ def sample_batch(v: Vocabulary, data: np.ndarray, offs: np.ndarray, keys: np.nda
     local = np.arange(len(starts)) - np.repeat(first[:-1], count)
     base = mix(np.repeat(key, count) + local.astype(U) * U(0x9E3779B97F4A7C15))
     walks = [lat.walk(word, mix(base ^ U(0xABCD * (j + 1)))) for j in range(k)]
-    fresh_others = [np.log(np.maximum(-np.expm1(np.minimum(w[2], 0)), 1e-300)) for w in walks]
-    for w, f in zip(walks, fresh_others):
+    others = [np.log(np.maximum(-np.expm1(np.minimum(w[2], 0)), 1e-300)) for w in walks]
+    for w, f in zip(walks, others):
         f[w[2] > -1e-13] = -np.inf  # the only segmentation
     exp = [-np.log(uniform(mix(base ^ U(0x1234567 * (j + 1))))) for j in range(k)]
     wide = bool((lat.piece < 0).any())
     out = []
-    for d in range(len(offs) - 1):
-        a, b = int(first[d]), int(first[d + 1])
-        stream = iter(range(1 << 62))
-        draw = lambda: float(uniform(mix(np.array([key[d] ^ U(0xFEED)], U) + U(next(stream))))[0])  # noqa: E731, B023
-        t = -np.log(draw())
-        done: list[tuple[float, float, np.ndarray]] = []
+    for d, (a, b, x) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), key.tolist())):
+        race = _Race(lat, word, walks, others, exp, a, b, x)
+        done, kappa = race.run(k)
+        for rank, (lp, arrived, parts) in enumerate(done):
+            ids = lat.piece[np.concatenate(parts) if parts else np.zeros(0, np.int64)]
+            if wide and (ids < 0).any():
+                if (ids < -128).any() or (v.byte < 0).any():
+                    ids = np.concatenate([spell(v, int(-1 - i)) if i < 0 else np.array([i]) for i in ids])
+                else:  # ASCII characters are one byte each
+                    ids = np.where(ids < 0, v.byte[np.clip(-1 - ids, 0, 255)], ids)
+            out.append((d, rank, lp, -math.log(arrived), _log_inclusion(lp, kappa), ids.astype(np.int32)))
+    return out
+
+
+class _Race:
+    """The race of one text, of words a to b. It holds no reference to itself, so its arrays go when it does."""
+
+    def __init__(self, lat: Lattices, word, walks, others, exp, a: int, b: int, key: int):
+        self.lat, self.word, self.walks, self.others, self.exp, self.a, self.b = lat, word, walks, others, exp, a, b
+        self.state = key ^ 0xFEED
         # a path: fresh word by word from sample j on, before that as its parent, with a word of its own between
-        paths: list[tuple] = []
-        branches: list[tuple[float, int, int, tuple]] = []  # (arrival, path, word, excluded)
-
-        def edges_of(p: int, lo: int, hi: int) -> list[np.ndarray]:
-            parent, j, at, own = paths[p]  # noqa: B023
-            e, o, _ = walks[j]
-            if parent is None:
-                return [e[o[lo] : o[hi]]]
-            got = edges_of(parent, lo, min(hi, at)) if lo < at else []  # noqa: B023
-            if lo <= at < hi:
-                got.append(np.array(own, np.int64))
-            if hi > at + 1:
-                got.append(e[o[max(lo, at + 1)] : o[hi]])
-            return got
-
-        def prefix(p: int, at: int) -> float:
-            """Log probability of the words before at."""
-            parent, j, w, own = paths[p]  # noqa: B023
-            if parent is None:
-                return float(walks[j][2][a:at].sum())  # noqa: B023
-            if at <= w:
-                return prefix(parent, at)  # noqa: B023
-            return prefix(parent, w) + lat.logp(int(word[w]), own) + float(walks[j][2][w + 1 : at].sum())  # noqa: B023
-
-        def open_branches(p: int, j: int, lo: int, before: float) -> None:
-            """Branches off path p at its fresh words lo and on; only the earliest of them is drawn later, so one per word is kept as arrays."""
-            if lo >= b:  # noqa: B023
-                return
-            lp = walks[j][2][lo:b]  # noqa: B023
-            mass = before + np.concatenate([[0], np.cumsum(lp[:-1])]) + fresh_others[j][lo:b]  # noqa: B023
-            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-                arrive = t + exp[j][lo:b] * np.exp(-mass)  # noqa: B023
-            few = np.argsort(arrive, kind="stable")[:k] if len(arrive) > k else np.arange(len(arrive))  # later ones can't be among the first k + 1
-            for i in few.tolist():
-                if np.isfinite(arrive[i]):
-                    branches.append((float(arrive[i]), p, lo + i, ()))  # noqa: B023
-
-        paths.append((None, 0, None, None))
-        total = prefix(0, b)
-        done.append((total, t, edges_of(0, a, b)))
-        open_branches(0, 0, a, 0.0)
-        while branches and len(done) < k:
-            i = min(range(len(branches)), key=lambda x: branches[x][0])
-            t, p, at, but = branches.pop(i)
-            but = but or (tuple(np.concatenate(edges_of(p, at, at + 1)).tolist()),)
-            own = lat.sample_but(int(word[at]), list(but), draw)
+        self.paths: list[tuple] = [(None, 0, None, None)]
+        self.branches: list[tuple[float, int, int, tuple]] = []  # (arrival, path, word, excluded)
+
+    def draw(self) -> float:
+        """The next of a stream of uniform numbers (SplitMix64)."""
+        self.state = (self.state + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+        z = self.state
+        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
+        return (((z ^ (z >> 31)) >> 11) + 0.5) / 2.0**53
+
+    def edges_of(self, p: int, lo: int, hi: int) -> list[np.ndarray]:
+        parent, j, at, own = self.paths[p]
+        e, o, _ = self.walks[j]
+        if parent is None:
+            return [e[o[lo] : o[hi]]]
+        got = self.edges_of(parent, lo, min(hi, at)) if lo < at else []
+        if lo <= at < hi:
+            got.append(np.array(own, np.int64))
+        if hi > at + 1:
+            got.append(e[o[max(lo, at + 1)] : o[hi]])
+        return got
+
+    def prefix(self, p: int, at: int) -> float:
+        """Log probability of the words before at."""
+        parent, j, w, own = self.paths[p]
+        lp = self.walks[j][2]
+        if parent is None:
+            return float(lp[self.a : at].sum())
+        if at <= w:
+            return self.prefix(parent, at)
+        return self.prefix(parent, w) + self.lat.logp(int(self.word[w]), own) + float(lp[w + 1 : at].sum())
+
+    def open_branches(self, p: int, j: int, lo: int, before: float, t: float, k: int) -> None:
+        """Branches off path p at its fresh words lo and on; of one path at most k can be among the first k + 1 arrivals."""
+        b = self.b
+        if lo >= b:
+            return
+        lp = self.walks[j][2][lo:b]
+        mass = before + np.cumsum(lp) - lp + self.others[j][lo:b]
+        arrive = t + self.exp[j][lo:b] * np.exp(np.minimum(-mass, 700.0))  # later than any that counts
+        arrive[mass < -690] = np.inf
+        few = np.argpartition(arrive, k - 1)[:k] if len(arrive) > k else range(len(arrive))
+        self.branches += [(float(arrive[i]), p, lo + int(i), ()) for i in few if arrive[i] < np.inf]
+
+    def run(self, k: int) -> tuple[list[tuple], float]:
+        a, b, lat = self.a, self.b, self.lat
+        t = -math.log(self.draw())
+        done = [(self.prefix(0, b), t, self.edges_of(0, a, b))]
+        self.open_branches(0, 0, a, 0.0, t, k)
+        while self.branches and len(done) < k:
+            i = min(range(len(self.branches)), key=lambda x: self.branches[x][0])
+            t, p, at, but = self.branches.pop(i)
+            but = but or (tuple(np.concatenate(self.edges_of(p, at, at + 1)).tolist()),)
+            w = int(self.word[at])
+            own = lat.sample_but(w, list(but), self.draw)
             if not own:
                 continue
             j = len(done)
-            paths.append((p, j, at, own))
-            new = len(paths) - 1
-            before = prefix(p, at)
-            done.append((prefix(new, b), t, edges_of(new, a, b)))
-            rest = 1.0 - sum(np.exp(lat.logp(int(word[at]), x)) for x in (*but, own))
-            if rest > 1e-12:
-                with np.errstate(over="ignore"):
-                    later = t - np.log(draw()) * np.exp(-(before + np.log(rest)))
-                if np.isfinite(later):
-                    branches.append((float(later), p, at, (*but, own)))
-            open_branches(new, j, at + 1, before + lat.logp(int(word[at]), own))
-        kappa = min((x[0] for x in branches), default=np.inf) if len(done) == k else np.inf
-        for rank, (lp, arrived, parts) in enumerate(done):
-            e = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            ids = lat.piece[e]
-            if wide and (ids < 0).any():
-                ids = np.concatenate([spell(v, int(-1 - x)) if x < 0 else np.array([x]) for x in ids]) if (ids < -128).any() or (v.byte < 0).any() else np.where(ids < 0, v.byte[np.clip(-1 - ids, 0, 255)], ids)
-            out.append((d, rank, lp, -float(np.log(arrived)), _log_inclusion(lp, kappa), ids.astype(np.int32)))
-    return out
+            self.paths.append((p, j, at, own))
+            new = len(self.paths) - 1
+            before = self.prefix(p, at)
+            done.append((self.prefix(new, b), t, self.edges_of(new, a, b)))
+            rest = 1.0 - sum(math.exp(lat.logp(w, x)) for x in (*but, own))
+            if rest > 1e-12 and before + math.log(rest) > -690:
+                self.branches.append((t - math.log(self.draw()) * math.exp(-(before + math.log(rest))), p, at, (*but, own)))
+            self.open_branches(new, j, at + 1, before + lat.logp(w, own), t, k)
+        return done, min((x[0] for x in self.branches), default=math.inf) if len(done) == k else math.inf
 
 
 def _log_inclusion(lp: float, kappa: float) -> float:
