@@ -1,12 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-1. Over all documents, the occurrences of the benchmark items' `k`-grams are counted.
-2. An item's seeds are those of its grams whose count isn't above its `share` quantile of counts: rare against the item's
-   others, so that an item copied into thousands of documents keeps its seeds. Where a seed stands in a document, the passage
-   around it is aligned with the item: 1 for a matching word, -1 for another word and for a word left out on either side.
+1. Over all documents, the occurrences of the benchmark items' words are counted.
+2. A `k`-gram is the rarer, the smaller the product of its words' counts. An item's seeds are the rarer `share` of its grams. (The
+   grams' own counts would mislead: part of an item, copied often, would look common.) Where a seed stands in a document, the
+   passage around it is aligned with the item: 1 for a matching word, -1 for another word and for one left out on either side.
 3. A passage leaks an item of m words if its best local score is at least `least` * m, and at least min(m, `floor`).
 
-The items' words are sent to the executors in groups of up to `most` grams; each group is one more scan, so a benchmark may
+The items' words are sent to the executors in groups of up to `most` bytes; each group is one more scan, so a benchmark may
 have any size. No text is shuffled.
 
 Result: (doc_id, item_id, score, similarity, start_word, end_word), one row for each passage.
@@ -74,12 +74,13 @@ class Items:
         self.owner = w.doc[self.at]
 
     def seeds(self, count: dict, share: float) -> "Items":
-        n = np.array([count.get(int(g), 0) for g in signed(self.gram)])
+        each = np.log1p([count.get(int(h), 0) for h in signed(self.hash)])
+        n = sum(each[self.at + i] for i in range(self.k)) if len(self.at) else np.zeros(0)
         keep = np.zeros(len(n), bool)
         for i in range(len(self.ids)):
             mine = np.flatnonzero(self.owner == i)
             if len(mine):
-                keep[mine] = n[mine] <= np.quantile(n[mine], share, method="lower")
+                keep[mine] = n[mine] <= np.quantile(n[mine], share, method="higher")
         out = object.__new__(Items)
         out.__dict__ = self.__dict__ | {"gram": self.gram[keep], "at": self.at[keep], "owner": self.owner[keep]}
         return out
@@ -139,20 +140,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     schema = f"{id} long, {item_id} long, score long, similarity double, start_word long, end_word long"
     found = None
     for group in _groups(items, k, most):
-        known = np.unique(group.gram)
+        known = np.unique(group.hash)
 
         def count(batches, known=known):
             total = np.zeros(len(known), np.int64)
             for _, w in word_batches(batches):
-                h = w.grams(k)[1]
+                h = w.hash
                 at = np.searchsorted(known, h)
                 at = at[known[np.minimum(at, len(known) - 1)] == h] if len(known) else at[:0]
                 total += np.bincount(at, minlength=len(known))
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(known[at])), pa.array(total[at])], ["gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(known[at])), pa.array(total[at])], ["word", "n"])
 
-        rows = docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # up to `most` grams
-        seeds = group.seeds({r.gram: r.n for r in rows}, share)
+        rows = docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # up to `most` words
+        seeds = group.seeds({r.word: r.n for r in rows}, share)
 
         def search(batches, seeds=seeds):
             lengths = np.diff(seeds.off)
@@ -166,7 +167,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
 
 
 def _groups(items: DataFrame, k: int, most: int):
-    """Items in groups of up to `most` bytes of text, which have fewer grams; only one group is on the driver at a time."""
+    """Items in groups of up to `most` bytes of text; only one group is on the driver at a time."""
     ids, text, size = [], [], 0
     for r in items.orderBy("id", "text").toLocalIterator():
         if ids and size + len(r.text) > most:
