@@ -4,10 +4,10 @@
    rows) and weigh size / probability. About `draws` rows a shard are drawn, `most` at most; their keys are all that the driver holds.
 2. Splitters are the weighted quantiles of the drawn keys that cut the bytes into shards of `target` bytes. A row's range is found by
    binary search.
-3. Ranges of more than `over` * target bytes are cut again: by splitters drawn within them, and what a single key still overfills
-   by a hash of the row, so that a shard has about `target` bytes unless one row is larger.
+3. Ranges of more than `over` * target bytes are cut again, up to three times, by keys drawn within them; what is still overfull (as
+   by a single key) is cut by a hash of the row, so that a shard has about `target` bytes unless one row is larger.
 
-Shards are numbered in key order; shards of one key that had to be cut by hash are neighbours. The result has all columns and
+Shards are numbered in key order; shards of a range that had to be cut by hash are neighbours. The result has all columns and
 `shard`, and each shard's rows are in one partition.
 
 Edge cases: null key parts come first; a null text has size 0, and each row counts `base` bytes besides. Ties share a shard unless
@@ -34,6 +34,20 @@ def splitters(keys: list[tuple], weight: np.ndarray, shards: int) -> list[tuple]
     return sorted({keys[order[i]] for i in cuts})
 
 
+def refine(keys: list[tuple], weight: list[float], target: int) -> list[tuple]:
+    """Keys before which a shard is full; a key larger than the target is cut off on both sides."""
+    by: dict[tuple, float] = {}
+    for k, w in zip(keys, weight):
+        by[k] = by.get(k, 0.0) + w
+    cuts, full = [], 0.0
+    for k in sorted(by):
+        if full and full + by[k] > target:
+            cuts.append(k)
+            full = 0.0
+        full += by[k]
+    return cuts
+
+
 def _plain(row) -> tuple:
     return tuple((v is not None, v if v is not None else 0) for v in row)
 
@@ -65,7 +79,7 @@ def shard(docs: DataFrame, keys: list[str], text: str = "text", target: int = TA
 
         return range_of(F.struct(*[F.col(c) for c in keys]))
 
-    for _ in range(2):
+    for _ in range(3):
         sizes = light.withColumn("__r", number(cuts)).groupBy("__r").agg(F.sum("__size").alias("n"), F.countDistinct(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys]).alias("k")).collect()  # a row a shard
         full = {r["__r"]: r["n"] for r in sizes if r["n"] > over * target and r["k"] > 1}
         if not full:
@@ -76,7 +90,7 @@ def shard(docs: DataFrame, keys: list[str], text: str = "text", target: int = TA
         for i, k in enumerate(more[0]):
             by.setdefault(bisect_right(cuts, k), []).append(i)
         for r, at in by.items():
-            cuts = cuts + splitters([more[0][i] for i in at], more[1][at], -(-full.get(r, 0) // target))
+            cuts = cuts + refine([more[0][i] for i in at], more[1][at].tolist(), target)
         cuts = sorted(set(cuts))
     sizes = {r["__r"]: r["n"] for r in light.withColumn("__r", number(cuts)).groupBy("__r").agg(F.sum("__size").alias("n")).collect()}
     parts = {r: -(-n // target) if n > over * target else 1 for r, n in sizes.items()}
