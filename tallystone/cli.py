@@ -14,44 +14,42 @@ from tallystone.operators import extract, index, ingest, registry, review, searc
 from tallystone.sources import log
 
 
+#: Commands and their options: a name and what it takes ("" a flag, "*" several words, a type, or choices).
+COMMANDS = {
+    "init": {},
+    "ingest": {"dry-run": "", "backfill": ""},
+    "extract": {"dry-run": "", "skip-entities": "", "skip-commitments": ""},
+    "review list": {"kind": ("entity", "commitment"), "all": ""},
+    "review show": {},
+    "review approve": {"merge-into": str, "note": str},
+    "review reject": {"note": str},
+    "search": {"terms": "*", "kinds": "*", "top-k": int, "min-ratio": float, "min-coverage": float, "budget": int, "recency-days": float, "no-alias": "", "hint": ""},
+    "reindex": {"stats": ""},
+    "rebuild-registry": {},
+}
+DEFAULTS = {"top-k": 5, "min-ratio": 0.35, "min-coverage": 0.0, "note": ""}
+
+
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="tallystone", description="An append-only memory log with staged extraction and full-text search.")
-    p.add_argument("--home")
-    p.add_argument("--llm-cmd")
-    p.add_argument("--json", action="store_true")
-    sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("init")
-    c = sub.add_parser("ingest")
-    c.add_argument("--dry-run", action="store_true")
-    c.add_argument("--backfill", action="store_true")
-    c = sub.add_parser("extract")
-    for o in ("--dry-run", "--skip-entities", "--skip-commitments"):
-        c.add_argument(o, action="store_true")
-    c = sub.add_parser("review").add_subparsers(dest="action", required=True)
-    r = c.add_parser("list")
-    r.add_argument("--kind", choices=["entity", "commitment"])
-    r.add_argument("--all", action="store_true")
-    c.add_parser("show").add_argument("id")
-    for name in ("approve", "reject"):
-        r = c.add_parser(name)
-        r.add_argument("id")
-        r.add_argument("--note", default="")
-        if name == "approve":
-            r.add_argument("--merge-into")
-    c = sub.add_parser("search")
-    c.add_argument("query")
-    c.add_argument("--terms", nargs="*")
-    c.add_argument("--kinds", nargs="*")
-    c.add_argument("-k", "--top-k", type=int, default=5)
-    c.add_argument("--min-ratio", type=float, default=0.35)
-    c.add_argument("--min-coverage", type=float, default=0.0)
-    c.add_argument("--budget", type=int)
-    c.add_argument("--recency-days", type=float)
-    c.add_argument("--no-alias", action="store_true")
-    c.add_argument("--hint", action="store_true")
-    sub.add_parser("reindex").add_argument("--stats", action="store_true")
-    sub.add_parser("rebuild-registry")
-    return p
+    top = argparse.ArgumentParser(prog="tallystone", description="An append-only memory log with staged extraction and full-text search.")
+    for o in ("home", "llm-cmd"):
+        top.add_argument(f"--{o}")
+    top.add_argument("--json", action="store_true")
+    groups = {"": top.add_subparsers(required=True, dest="command")}
+    for name, options in COMMANDS.items():
+        group, _, last = name.rpartition(" ")
+        if group not in groups:
+            groups[group] = groups[""].add_parser(group).add_subparsers(required=True, dest="action")
+        one = groups[group].add_parser(last)
+        if name == "search":
+            one.add_argument("query")
+        elif group and last != "list":
+            one.add_argument("id")
+        for o, takes in options.items():
+            how = {"action": "store_true"} if takes == "" else {"nargs": "*"} if takes == "*" else {"choices": takes} if isinstance(takes, tuple) else {"type": takes}
+            flags = (["-k"] if o == "top-k" else []) + [f"--{o}"]
+            one.add_argument(*flags, **how, **({"default": DEFAULTS[o]} if o in DEFAULTS else {}))
+    return top
 
 
 def _spark() -> SparkSession:
@@ -129,4 +127,4 @@ def _search(spark: SparkSession, cfg: Config, a) -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    raise SystemExit(main())

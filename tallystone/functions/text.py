@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 
 CHUNK, OVERLAP, FOLD = 1500, 200, 80
-TOKEN = r"[A-Za-z0-9_][A-Za-z0-9_\-\.]*|[^\x00-\x7F]+"
+TOKEN = r"[0-9A-Z_a-z][-.0-9A-Z_a-z]*|[^\x00-\x7F]+"
 SEPARATOR = r"[^\p{L}\p{N}\p{Co}]+"
 
 
@@ -96,7 +96,7 @@ def instant(at: Column | str) -> Column:
 
 # ---- single queries, on the driver
 
-_CLASSES = re.compile("[A-Za-z0-9_][A-Za-z0-9_\\-\\.]*|[一-鿿々]+|[゠-ヿ]+|[ぁ-ゟ]+")
+_CLASSES = re.compile("[0-9A-Z_a-z][-.0-9A-Z_a-z]*|[ぁ-ゟ]+|[゠-ヿ]+|[々一-鿿]+")
 _HIRAGANA = re.compile("[ぁ-ゟ]+")
 _PARTICLES = "けど のに ので より など とか のこと だっけ まで から では には って".split()
 _CUT = re.compile("|".join(_PARTICLES) + "|[でへにをがはのと]")
@@ -109,15 +109,15 @@ _STOP = frozenset(
 )
 
 
-def split_query(query: str) -> list[str]:
+def split_query(question: str) -> list[str]:
     """Terms of a question: runs of one class of characters, hiragana cut at particles and without grammar; the query itself if none is left."""
     out: dict[str, None] = {}
-    for run in _CLASSES.findall(query):
+    for run in _CLASSES.findall(question):
         if not _HIRAGANA.fullmatch(run):
             out[run] = None
         elif run not in _STOP:
             out.update(dict.fromkeys(f for f in _CUT.split(run) if len(f) > 1 and f not in _STOP))
-    return list(out) or [query]
+    return list(out) or [question]
 
 
 def split_query_udf():
@@ -146,5 +146,5 @@ def register(spark: SparkSession) -> None:
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION ts_normalize(x STRING) RETURNS STRING RETURN lower(regexp_replace(x, '(?U)\\s+', ''))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION ts_slugify(x STRING) RETURNS STRING RETURN CASE WHEN trim(BOTH '_' FROM regexp_replace(lower(x), '[^a-z0-9]+', '_')) <> '' THEN trim(BOTH '_' FROM regexp_replace(lower(x), '[^a-z0-9]+', '_')) ELSE concat('e', substring(sha2(x, 256), 1, 10)) END")
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION ts_estimate_tokens(x STRING) RETURNS INT RETURN CAST(floor(length(regexp_replace(x, '[^\\x00-\\x7F]', '')) / 4) + length(x) - length(regexp_replace(x, '[^\\x00-\\x7F]', '')) AS INT)")
-    spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION ts_bigramize(x STRING) RETURNS STRING RETURN array_join(flatten(transform(regexp_extract_all(x, '[A-Za-z0-9_][A-Za-z0-9_\\-\\.]*|[^\\x00-\\x7F]+', 0), t -> CASE WHEN ascii(t) < 128 THEN array(lower(t)) ELSE transform(sequence(1, greatest(length(t) - 1, 1)), i -> substring(t, i, 2)) END)), ' ')")
+    spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION ts_bigramize(x STRING) RETURNS STRING RETURN array_join(flatten(transform(regexp_extract_all(x, '[0-9A-Z_a-z][-.0-9A-Z_a-z]*|[^\\x00-\\x7F]+', 0), t -> CASE WHEN ascii(t) < 128 THEN array(lower(t)) ELSE transform(sequence(1, greatest(length(t) - 1, 1)), i -> substring(t, i, 2)) END)), ' ')")
     spark.udf.register("ts_split_query", split_query_udf())

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallystone.functions.text import normalize
 
-FILES = {"person": "persons.json", "place": "places.json", "thing": "things.json"}
+FILES = {t: f"{t}s.json" for t in ("person", "place", "thing")}
 
 
 # ---- frames: entities(id, canonical_name, aliases, pos)
@@ -71,7 +71,7 @@ def norm(name: str) -> str:
 
 
 def slug(name: str) -> str:
-    return re.sub("[^a-z0-9]+", "_", name.lower()).strip("_") or "e" + hashlib.sha256(name.encode()).hexdigest()[:10]
+    return "_".join(re.findall("[a-z0-9]+", name.lower())) or "e" + hashlib.sha256(name.encode()).hexdigest()[:10]
 
 
 class Ledger:
@@ -110,7 +110,7 @@ class Ledger:
         id = f"{type}:{slug(name)}"
         if self.by_id(id):
             id += "_" + hashlib.sha256(name.encode()).hexdigest()[:6]
-        e = {"id": id, "type": type, "canonical_name": name, "aliases": list(aliases or []), "confusable_with": list(confusable or []), "note": (note or "")[:500], "sources": list(sources or [])[:5], "status": "confirmed", "added_by": by, "first_seen": at}
+        e = dict(id=id, type=type, canonical_name=name, aliases=[*(aliases or ())], confusable_with=[*(confusable or ())], note=(note or "")[:500], sources=[*(sources or ())][:5], status="confirmed", added_by=by, first_seen=at)
         self.entities.append(e)
         for o in map(self.by_id, e["confusable_with"]):
             if o is not None and id not in o["confusable_with"]:
@@ -141,7 +141,8 @@ class Ledger:
         for type, file in FILES.items():
             rows = [{k: v for k, v in e.items() if k != "type"} for e in self.entities if e["type"] == type]
             part = folder / f".{file}.part"
-            part.write_text(json.dumps({"version": 1, "type": type, "entities": rows}, ensure_ascii=False, indent=1) + "\n", encoding="utf-8")
+            text = json.dumps({"version": 1, "type": type, "entities": rows}, indent=1, ensure_ascii=False)
+            part.write_bytes(f"{text}\n".encode())
             os.replace(part, folder / file)
 
     @classmethod
@@ -150,7 +151,7 @@ class Ledger:
         for type, file in FILES.items():
             if (path := Path(folder) / file).exists():
                 try:
-                    rows = json.loads(path.read_text(encoding="utf-8"))["entities"]
+                    rows = json.loads(path.read_bytes())["entities"]
                 except (ValueError, KeyError, TypeError) as e:
                     raise ValueError(f"registry file can't be read: {path} ({e})") from e
                 out.entities += [{**e, "aliases": e.get("aliases") or [], "confusable_with": e.get("confusable_with") or [], "type": type} for e in rows]

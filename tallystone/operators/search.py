@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallystone.functions.text import estimate_tokens, split_query, squeeze, tokens, tokens_of, truncate_to_tokens
 
-KIND_WEIGHTS = {"note": 1.25, "profile": 1.20, "state": 1.15, "session": 1.00}
+KIND_WEIGHTS = dict(session=1.0, state=1.15, profile=1.2, note=1.25)
 KEEP = ["path", "kind", "section", "body", "seq", "nseq", "mtime", "tail"]
 IDF_FLOOR = 1e-6
 
@@ -115,7 +115,7 @@ def weighted(found: DataFrame, weights: dict[str, float], recency_days: float |
     return found.withColumn("score", F.round(score, 3))
 
 
-def search(chunks: DataFrame, query: Query, top_k: int = 5, kinds: list[str] | None = None, weights: dict[str, float] | None = None, min_ratio: float = 0.35, min_coverage: float = 0.0, min_score: float | None = None, budget: int | None = None, recency_days: float | None = None, now: float | None = None, stats: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, query: Query, top_k: int = 5, budget: int | None = None, min_score: float | None = None, min_ratio: float = 0.35, kinds: list[str] | None = None, min_coverage: float = 0.0, weights: dict[str, float] | None = None, recency_days: float | None = None, now: float | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Hits in order: KEEP, score, coverage, rank. The candidates kept from BM25 bound everything after it."""
     p = query.phrases
     if not p:

@@ -20,7 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 TERMS = ["the", "disgusting", "idiot"]
-WEIGHTS = {"note": 1.25, "profile": 1.20, "state": 1.15, "session": 1.00}
 NOW = 2_000_000_000.0
 STATES = {"view": projections.DEFERRED, "click": projections.OPENED, "purchase": projections.RESOLVED, "error": projections.RESOLVED, "signup": "episode_added"}
 
@@ -80,7 +79,7 @@ def note_chunks(spark: SparkSession, d: str) -> DataFrame:
 #: No document has a heading, and a last window always has over 80 characters, so windows are chunks.
 CHUNKS = NOTES + """, win AS (SELECT path, kind, mtime, unnest(range(0, CAST(greatest(ceil((length(text) - 1500) / 1300.0), 0) AS BIGINT) + 1)) AS i, text FROM notes WHERE trim(text) <> ''),
  chunks AS (SELECT path, kind, mtime, i + 1 AS seq, count(*) OVER (PARTITION BY path) AS nseq, substring(text, i * 1300 + 1, 1500) AS body FROM win)"""
-BIGRAMS = r"flatten(list_transform(regexp_extract_all({x}, '[A-Za-z0-9_][A-Za-z0-9_\-\.]*|[^\x00-\x7F]+'), lambda x: CASE WHEN ascii(x) < 128 THEN [lower(x)] WHEN length(x) = 1 THEN [x] ELSE list_transform(range(1, length(x)), lambda i: substring(x, i, 2)) END))"
+BIGRAMS = r"flatten(list_transform(regexp_extract_all({x}, '[0-9A-Z_a-z][-.0-9A-Z_a-z]*|[^\x00-\x7F]+'), lambda x: CASE WHEN ascii(x) < 128 THEN [lower(x)] WHEN length(x) = 1 THEN [x] ELSE list_transform(range(1, length(x)), lambda i: substring(x, i, 2)) END))"
 TOKENS = r"list_filter(string_split_regex(lower(array_to_string(" + BIGRAMS + r", ' ')), '[^\p{{L}}\p{{N}}\p{{Co}}]+'), lambda x: x <> '')"
 WORDS = CHUNKS + ", w AS MATERIALIZED (SELECT path, kind, mtime, seq, nseq, body, " + TOKENS.format(x="body") + " AS words FROM chunks)"
 FREQ = WORDS + ", f AS MATERIALIZED (SELECT path, kind, mtime, seq, nseq, body, len(words) AS dl, " + ", ".join(f"len(list_filter(words, lambda x: x = '{x}')) AS f{i}" for i, x in enumerate(TERMS)) + " FROM w), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, " + ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(3)) + " FROM f)"

@@ -38,7 +38,8 @@ class InvalidEvent(ValueError):
 
 
 def now_iso() -> str:
-    return datetime.now().astimezone().isoformat(timespec="seconds")
+    now = datetime.now().replace(microsecond=0)
+    return now.astimezone().isoformat()
 
 
 def new_id(prefix: str) -> str:
@@ -90,15 +91,17 @@ def append(folder: Path, *events: dict) -> list[str]:
     Path(folder).mkdir(parents=True, exist_ok=True)
     for month, some in by.items():
         path = Path(folder) / f"{month}.jsonl"
-        with open(path, "a", encoding="utf-8") as f, _locked(f, path):
-            f.write("".join(json.dumps(e, ensure_ascii=False) + "\n" for e in some))
+        with path.open("ab") as f, _locked(f, path):
+            f.write("".join(json.dumps(e, ensure_ascii=False) + "\n" for e in some).encode())
             f.flush()
             os.fsync(f.fileno())
     return ids
 
 
-def emit(folder: Path, type: str, writer: str, at: str | None = None, **payload) -> str:
-    return append(folder, {"type": type, "at": at or now_iso(), "writer": writer, **payload})[0]
+def emit(folder: Path, type: str, writer: str, **rest) -> str:
+    """One event, now unless `at` is among the rest."""
+    (id,) = append(folder, {"at": now_iso(), **rest, "writer": writer, "type": type})
+    return id
 
 
 def append_frame(rows: DataFrame, folder: str) -> None:

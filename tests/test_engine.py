@@ -18,7 +18,8 @@ from tallystone.sources import corpus, log
 
 @pytest.fixture
 def cfg(tmp_path):
-    return Config.load(tmp_path / "home").ensure_dirs()
+    made = Config.load(tmp_path / "home")
+    return made.ensure_dirs()
 
 
 def session(cfg, name, contents, archived=None, at="2031-05-04T09:00:00+09:00"):
@@ -28,7 +29,7 @@ def session(cfg, name, contents, archived=None, at="2031-05-04T09:00:00+09:00"):
         folder.mkdir(parents=True, exist_ok=True)
         (folder / f"{name}.json.gz").write_bytes(gzip.compress(json.dumps(turns).encode()))
     else:
-        (cfg.sessions / f"{name}.json").write_text(json.dumps(turns, ensure_ascii=False), encoding="utf-8")
+        (cfg.sessions / f"{name}.json").write_bytes(json.dumps(turns).encode())
 
 
 def events(spark, cfg, *types):
@@ -109,8 +110,8 @@ def test_log(spark, cfg):
     e = {"type": "x", "at": "2031-05-31T23:00:00-05:00", "writer": "w", "name": "清"}
     log.append(cfg.events, e)
     assert "id" not in e
-    log.emit(cfg.events, "y", "w", at="2031-07-01T00:00:00+00:00", name="b")
-    log.emit(cfg.events, "x", "w", at="not yet"[:0] or "2031-06-30T00:00:00", name="c")
+    log.emit(cfg.events, "y", "w", at="2031-07-09T00:00:00Z", name="b")
+    log.emit(cfg.events, "x", "w", at="2031-06-30T00:00:00", name="c")
     with open(cfg.events / "2031-06.jsonl", "ab") as f:
         f.write(b'{"bad\n\n["list"]\n"text"\n\xff\xfe\n')
     assert sorted(p.stem for p in cfg.events.glob("*.jsonl")) == ["2031-05", "2031-06", "2031-07"]
@@ -136,7 +137,7 @@ def test_ingest(spark, cfg):
     session(cfg, "a", ["one", "two"])
     assert ingest.run(spark, cfg, dry_run=True) == 0 and not events(spark, cfg)
     assert ingest.run(spark, cfg) == 0 and ingest.run(spark, cfg) == 0
-    session(cfg, "a", ["one", "two", "three"])
+    session(cfg, "a", "one two three".split())
     (cfg.sessions / "broken.json").write_text("{not json")
     session(cfg, "odd", ["fine", "x"])
     (cfg.sessions / "odd.json").write_text('[{"role": "user", "content": "x"}, 5]')
@@ -191,7 +192,7 @@ def test_extract(spark, cfg):
         session(cfg, f"s{i}", [f"the Gizmo and Gizmoid{' and Maybe' if i == 3 else ''}"])
     (cfg.notes / "n.md").write_text("rent is due in May")
     cfg.reminders_file = cfg.home / "r.json"
-    cfg.reminders_file.write_text('[{"title": "kn\\u006fwn"}]')
+    cfg.reminders_file.write_text('{"x": [{"title": "kn\\u006fwn"}]}')
     ingest.run(spark, cfg)
     model = seeing(Gizmo={}, Gizmoid={}, Maybe={"confidence": "low"})
     assert extract.run(spark, cfg, model, dry_run=True) == 0 and not events(spark, cfg, "entity_scanned")
