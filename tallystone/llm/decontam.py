@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .kernel import U, grams_at, signed, texts, word_batches, words
+from .kernel import signed, texts, word_batches, words
 
 K, SHARE, LEAST, FLOOR, MOST = 3, 0.5, 0.4, 8, 1_000_000
 
