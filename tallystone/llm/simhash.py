@@ -51,8 +51,10 @@ def fingerprints_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bits = np.unpackbits(np.stack([part, mix(part + U(1))], 1).view(np.uint8), axis=1)
         lo, hi = np.searchsorted(first, i, "right") - 1, np.searchsorted(first, i + len(part), "left")
         cuts = np.maximum(first[lo:hi] - i, 0)
-        votes[lo:hi] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
-    out[:] = np.packbits(votes * 2 > n[:, None], axis=1).view(U) if len(docs) else out
+        votes[lo:hi] += 2 * np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
+        new = np.flatnonzero(first[lo:hi] >= i)
+        votes[lo + new] += bits[cuts[new]]  # ties fall as the first bigram's bit, so that short texts' bits are even too
+    out[:] = np.packbits(votes > n[:, None], axis=1).view(U) if len(docs) else out
     return docs, out[:, 0], out[:, 1]
 
 

@@ -343,11 +343,20 @@ def test_near_pairs_against_all_pairs(spark):
     prints = simhash.fingerprints(frame(spark, list(enumerate(docs))))
     got = {(r.b, r.a) for r in simhash.near_pairs(prints, shard=40, sample=100).collect()}
     assert got == want and len(want) > 60
-    votes = collections.Counter()
-    at, h = of(docs[:1]).grams(2)
-    for x in h.tolist():
-        votes.update(i for i in range(64) if x >> i & 1)
-    assert all(bool(int(hi[0]) >> (8 * (i // 8) + i % 8) & 1) == (2 * votes[8 * (i // 8) + i % 8] > len(h)) for i in range(64))
+    for some in (docs[0], "a b c", "a b c d e", "one"):
+        w = of([some])
+        h = (w.grams(2)[1] if len(w.hash) > 1 else w.hash).tolist()
+        got = int(simhash.fingerprints_of(w)[1][0])
+        for i in range(64):
+            votes = sum(x >> i & 1 for x in h)
+            assert got >> i & 1 == (h[0] >> i & 1 if 2 * votes == len(h) else 2 * votes > len(h))
+
+
+def test_short_texts_are_not_near():
+    rng = random.Random(13)
+    _, hi, lo = simhash.fingerprints_of(of([" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (2, 3, 5, 7) for _ in range(150)]))
+    far = np.bitwise_count(hi[:, None] ^ hi) + np.bitwise_count(lo[:, None] ^ lo)
+    assert (far[np.triu_indices(len(hi), 1)] > simhash.RADIUS).all()
 
 
 def test_groups_edges(spark):
