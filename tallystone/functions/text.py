@@ -39,7 +39,12 @@ def bigramize(x: Column | str) -> Column:
 
 def tokens(x: Column | str) -> Column:
     """The index's tokens: bigrams, cut at whatever is neither letter, number nor private-use, in lower case."""
-    return F.filter(F.split(F.lower(bigramize(x)), SEPARATOR), lambda t: t != "")
+    x = F.lower(_c(x))
+    # runs of one class in one pass; most text is ASCII, whose runs are the tokens
+    runs = F.regexp_extract_all(x, F.lit(r"[0-9a-z]+|[^\x00-\x7F]+"), F.lit(0))
+    pairs = lambda r: F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.split(F.substring(r, i, F.lit(2)), SEPARATOR))), lambda w: w != "")
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(F.ascii(r) < 128, F.array(r)).otherwise(pairs(r))))
+    return F.when(F.octet_length(x) == F.length(x), runs).otherwise(mixed)
 
 
 def estimate_tokens(x: Column | str) -> Column:

@@ -59,7 +59,9 @@ def tokenised(chunks: DataFrame) -> DataFrame:
 def counts(words: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """A column f<i> for each phrase, and the chunk's length `dl`; the tokens are left behind."""
     keep = [c for c in words.columns if c != "words"]
-    return words.select(*keep, F.size("words").alias("dl"), *[occurrences(F.col("words"), p).alias(f"f{i}") for i, p in enumerate(phrases)])
+    found = F.struct(F.size("words").alias("dl"), *[occurrences(F.col("words"), p).alias(f"f{i}") for i, p in enumerate(phrases)])
+    # a filter on f<i> can't be pushed below a generator, where it would tokenise again for each phrase
+    return words.select(*keep, F.inline(F.array(found)))
 
 
 def statistics(counted: DataFrame, phrases: int) -> DataFrame:

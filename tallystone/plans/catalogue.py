@@ -39,6 +39,12 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it has but few row groups to read; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) * 2 <= cores and df.count() < 1_000_000 else df
+
+
 # ---- adapters, each with its SQL
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +71,7 @@ PROPOSALS = LIFE + """, raised AS (SELECT proposal_id, coalesce(min_by(at, CASE
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.when(F.col("source").isin("src0", "src1"), "profile").when(F.col("source") == "src2", "state").otherwise("note").alias("kind"), "text", (F.lit(NOW) - F.pmod("doc_id", F.lit(90)) * 86400).cast("double").alias("mtime"))
+    return spread(t(spark, d, "documents")).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.when(F.col("source").isin("src0", "src1"), "profile").when(F.col("source") == "src2", "state").otherwise("note").alias("kind"), "text", (F.lit(NOW) - F.pmod("doc_id", F.lit(90)) * 86400).cast("double").alias("mtime"))
 
 
 NOTES = f"notes AS (SELECT 'doc/' || doc_id AS path, CASE WHEN source IN ('src0', 'src1') THEN 'profile' WHEN source = 'src2' THEN 'state' ELSE 'note' END AS kind, text, CAST({NOW} - (doc_id % 90) * 86400 AS DOUBLE) AS mtime FROM documents)"
