@@ -1,16 +1,17 @@
 """Language-model scoring by an n-gram trie of Elias-Fano sequences.
 
-The model is interpolated modified Kneser-Ney over byte 5-grams of every document. Its grams are sharded by first byte; a
-shard is a trie whose level k holds, in order, the last bytes of its k-grams, each made monotone by adding the last value of the
+The model is interpolated modified Kneser-Ney over all n-grams of every document: of 4 pieces of a SentencePiece vocabulary, or of
+5 bytes (`unit`). Its grams are sharded by first symbol, in as many shards as their number asks for; a
+shard is a trie whose level k holds, in order, the last symbols of its k-grams, each made monotone by adding the last value of the
 sibling range before (so it is read relative to its context), and monotone pointers to the children. Both are Elias-Fano coded.
 Probabilities and back-off weights are quantised to a byte each, in even steps of their logarithm over each order's range. A shard is a file in the shared
-folder, memory-mapped by the executors. A gram is looked up from the first byte: in the children's range of the node so far,
-a successor search finds the first value that isn't below base + byte. Grams are looked up once a task.
+folder, memory-mapped by the executors. A gram is looked up from the first symbol: in the children's range of the node so far,
+a successor search finds the first value that isn't below base + symbol. Grams are looked up once a task.
 
 Quantising costs little and is part of the score: `find` gives the quantised values.
 
 Edge cases: null and empty texts have a sum of 0 over 0 bytes and no perplexity. Null ids are kept; repeated rows each count
-and are each scored. An empty table gives none, and a model without grams is uniform over the 256 bytes.
+and are each scored. An empty table gives none, and a model without grams is uniform over the symbols. A text's perplexity is a byte's, whatever the unit.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import ngrams
 from .kernel import U, slices, texts
-from .ngrams import N
+from .ngrams import BYTES, Unit
 from .shared import map_blob, new_path, stash, write_blob
 
-SHARDS, BINS = 16, 254
+SHARDS, BINS, EACH = 16, 254, 1_500_000
 
 
 class EliasFano:
@@ -90,13 +91,13 @@ class EliasFano:
         return lo
 
 
-def build(grams: list[np.ndarray], logp: list[np.ndarray], backoff: list[np.ndarray]) -> bytes:
+def build(grams: list[np.ndarray], logp: list[np.ndarray], backoff: list[np.ndarray], bits: int = 8) -> bytes:
     """A shard: sorted grams of orders 1, 2, ..., whose prefixes are all there, with codes of their values."""
     head, parts = [], []
     for k, g in enumerate(grams):
-        last = g & 255
+        last = g & ((1 << bits) - 1)
         if k:
-            parent = np.searchsorted(grams[k - 1], g >> 8)
+            parent = np.searchsorted(grams[k - 1], g >> bits)
             pointer = np.searchsorted(parent, np.arange(len(grams[k - 1]) + 1))
         else:
             parent, pointer = np.zeros(len(g), np.int64), np.array([0, len(g)])
@@ -117,7 +118,8 @@ def build(grams: list[np.ndarray], logp: list[np.ndarray], backoff: list[np.ndar
 
 
 class Trie:
-    def __init__(self, path: str):
+    def __init__(self, path: str, bits: int = 8):
+        self.bits = bits
         blob = map_blob(path)
         n = int(blob[:8].view(np.int64)[0])
         body = blob[8 + n :]
@@ -136,10 +138,10 @@ class Trie:
         at = np.arange(len(grams))
         for level in range(k):
             values, pointers = self.levels[level][:2]
-            byte = grams[at] >> 8 * (k - 1 - level) & 255
+            symbol = grams[at] >> self.bits * (k - 1 - level) & ((1 << self.bits) - 1)
             lo, hi = pointers[node[at]], pointers[node[at] + 1]
             base = np.where(lo > 0, values[np.maximum(lo - 1, 0)], 0) if values.n else lo
-            want = base + byte
+            want = base + symbol
             place = values.successor(lo, hi, want)
             there = place < hi
             there[there] = values[place[there]] == want[there]
@@ -154,16 +156,16 @@ class Trie:
 class Model:
     """The shards and code books; finds quantised values."""
 
-    def __init__(self, shards: dict[int, str], books: dict[tuple[int, int], np.ndarray], count: int):
-        self.shards, self.books, self.count, self.open = shards, books, count, {}
+    def __init__(self, shards: dict[int, str], books: dict[tuple[int, int], np.ndarray], count: int, unit: Unit = BYTES):
+        self.shards, self.books, self.count, self.unit, self.open = shards, books, count, unit, {}
 
     def _value(self, k: int, grams: np.ndarray, what: int) -> np.ndarray:
         out = np.full(len(grams), np.nan)
-        which = (grams >> 8 * (k - 1) & 255) % self.count
+        which = (grams >> self.unit.bits * (k - 1) & ((1 << self.unit.bits) - 1)) % self.count
         for s in np.unique(which).tolist():
             if s in self.shards:
                 if s not in self.open:
-                    self.open[s] = Trie(self.shards[s])
+                    self.open[s] = Trie(self.shards[s], self.unit.bits)
                 at = np.flatnonzero(which == s)
                 node = self.open[s].find(k, grams[at])
                 got = node >= 0
@@ -178,11 +180,12 @@ class Model:
         return self._value(k, contexts, 1) if k else np.full(len(contexts), self.books[0, 1][1])
 
 
-def train(docs: DataFrame, text: str = "text", shards: int = SHARDS) -> Model:
-    """The model of all rows of docs."""
+def train(docs: DataFrame, text: str = "text", shards: int = SHARDS, unit: Unit = BYTES) -> Model:
+    """The model of all rows of docs, in `shards` shards or more."""
     spark = docs.sparkSession
-    grams = stash(ngrams.counts(docs.select(F.lit(0).cast("long").alias("model"), F.col(text).alias("text"))), "counts")
-    table = stash(ngrams.estimates(grams), "estimates")
+    grams = stash(ngrams.counts(docs.select(F.lit(0).cast("long").alias("model"), F.col(text).alias("text")), unit), "counts")
+    table = stash(ngrams.estimates(grams, unit), "estimates")
+    shards = max(shards, table.count() // EACH)
     rows = table.groupBy("k").agg(*(f(c).alias(f"{c}_{n}") for c in ("logp", "backoff") for n, f in (("lo", F.min), ("hi", F.max)))).collect()  # a row an order
     edges, books = {}, {}
     for what, name in enumerate(("logp", "backoff")):
@@ -191,7 +194,7 @@ def train(docs: DataFrame, text: str = "text", shards: int = SHARDS) -> Model:
             e = np.unique(np.linspace(lo, hi, BINS + 1)) if lo is not None else np.zeros(1)
             edges[r.k, what] = (e[1:] + e[:-1]) / 2
             books[r.k, what] = np.concatenate([[np.nan], e])
-    for k in range(N + 1):
+    for k in range(unit.n + 1):
         for what in (0, 1):
             books.setdefault((k, what), np.array([np.nan, 0.0]))
             edges.setdefault((k, what), np.zeros(0))
@@ -200,32 +203,33 @@ def train(docs: DataFrame, text: str = "text", shards: int = SHARDS) -> Model:
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         s = int(pdf["shard"].iloc[0])
         levels = [[], [], []]
-        for k in range(1, N + 1):
+        for k in range(1, unit.n + 1):
             part = pdf[pdf["k"] == k].sort_values("gram")
             levels[0].append(part["gram"].to_numpy(np.int64))
             for what, name in enumerate(("logp", "backoff")):
                 v = part[name].to_numpy(float)
                 code = np.searchsorted(edges[k, what], np.nan_to_num(v)) + 1
                 levels[1 + what].append(np.where(np.isnan(v), 0, code).astype(np.uint8))
-        write_blob(f"{path}/{s}", build(*levels))
+        write_blob(f"{path}/{s}", build(*levels, unit.bits))
         return pd.DataFrame({"shard": [s], "path": [f"{path}/{s}"]})
 
-    # a shard has all of a first byte's grams: its contexts too
-    shard = F.pmod(F.expr("shiftright(gram, 8 * (k - 1))").bitwiseAND(255), F.lit(shards))
+    # a shard has all of a first symbol's grams: its contexts too
+    shard = F.pmod(F.expr(f"shiftright(gram, {unit.bits} * (k - 1))").bitwiseAND((1 << unit.bits) - 1), F.lit(shards))
     made = table.where("k > 0").withColumn("shard", shard).groupBy("shard").applyInPandas(make, "shard long, path string").collect()
-    return Model({r.shard: r.path for r in made}, books, shards)
+    return Model({r.shard: r.path for r in made}, books, shards, unit)
 
 
 def scores(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, log_prob, perplexity) of every row: natural logs, perplexity a byte."""
 
     def score(batches):
-        run = ngrams.Scorer(model.seen, model.weight)
+        run = ngrams.Scorer(model.seen, model.weight, model.unit)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                data, offs, _ = texts(part.column("text"))
+                size = np.diff(texts(part.column("text"))[1])
+                data, offs = model.unit.symbols(part.column("text"))
                 total, _ = run(data, offs, np.zeros(part.num_rows, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(offs)), pa.array(total)], ["id", "n", "s"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size), pa.array(total)], ["id", "n", "s"])
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(score, "id long, n long, s double")
     return rows.select(F.col("id").alias(id), F.col("n").alias("n_bytes"), F.col("s").alias("log_prob"), F.exp(F.expr("try_divide(-s, n)")).alias("perplexity"))

@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio, decontam, eftrie, lattice, licences, linededup, quality, sharding, simhash, suffix
+from . import audio, decontam, eftrie, lattice, licences, linededup, ngrams, quality, sharding, simhash, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op8_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return eftrie.scores(docs, eftrie.train(docs))
+    return eftrie.scores(docs, eftrie.train(docs, unit=ngrams.Pieces(proto=model_proto())))
 
 
 def op10_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,18 @@
-"""Byte n-gram counts and interpolated modified Kneser-Ney estimates, as sharded joins.
+"""N-gram counts of bytes or pieces and interpolated modified Kneser-Ney estimates, as sharded joins.
 
-A gram of order N is a long whose lowest N * 8 bits are its bytes, the last byte lowest; above them stands a model's number, so
-that several models (one for each language) share the tables. Every text is preceded by N - 1 line feeds.
+A gram of order n is a long whose lowest n * bits bits are its symbols, the last one lowest; above them stands a model's number, so
+that several models (one for each language) share the tables. Every text is preceded by n - 1 pads (line feeds, of bytes).
+
+Pieces are those of a SentencePiece vocabulary of up to 2**15: words are cut at blanks and line feeds, a line feed is its byte's
+piece, and so is what the vocabulary can't spell, so every text is made of known symbols.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -14,31 +21,86 @@ from .kernel import slices, texts
 from .shared import in_lists, map_blob, new_path, stash, write_blob
 
 N = 5
-SHARDS = 16
-
-
-def codes(data: np.ndarray, offs: np.ndarray, n: int = N) -> np.ndarray:
-    """The order-n gram that ends at each byte."""
+PIECES, CACHE = 4, 300_000
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What grams are made of: n symbols of `bits` bits, of `size` kinds; `pad` stands before a text."""
+
+    n: int = N
+    bits: int = 8
+    size: int = 256
+    pad: int = 10
+
+    def symbols(self, column) -> tuple[np.ndarray, np.ndarray]:
+        return texts(column)[:2]
+
+
+BYTES = Unit()
+
+
+@lru_cache(2)
+def _processor(proto: bytes) -> tuple:
+    """The vocabulary, its bytes' pieces, and the pieces of words seen in this task."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+    byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+    if sp.get_piece_size() > 1 << 15 or not all(sp.is_byte(i) for i in byte):
+        raise ValueError("the vocabulary must have up to 2**15 pieces, and those of all bytes")
+    return sp, byte, {}
+
+
+@dataclass(frozen=True)
+class Pieces(Unit):
+    n: int = PIECES
+    bits: int = 15
+    size: int = 1 << 15
+    pad: int = 1
+    proto: bytes = b""
+
+    def symbols(self, column) -> tuple[np.ndarray, np.ndarray]:
+        sp, byte, known = _processor(self.proto)
+        parts, offs = [], [0]
+        for t in column.to_pylist():
+            n = 0
+            if t:
+                w = t.replace("\n", " \n ").split(" ") if "\n" in t else t.split(" ")
+                for x in set(w).difference(known):
+                    known[x] = [byte[10]] if x == "\n" else sp.encode(x) or [byte[b] for b in (x.encode() or b" ")]
+                ids = np.fromiter(chain.from_iterable(map(known.__getitem__, w)), np.int64)
+                parts.append(ids)
+                n = len(ids)
+                if len(known) > CACHE:
+                    known.clear()
+            offs.append(offs[-1] + n)
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(offs, np.int64)
+
+
+def codes(data: np.ndarray, offs: np.ndarray, unit: Unit = BYTES) -> np.ndarray:
+    """The order-n gram that ends at each symbol."""
+    n, bits = unit.n, unit.bits
     size = np.diff(offs)
     out = np.zeros(len(data), np.int64)
     for back in range(n - 1, -1, -1):
-        out <<= 8
+        out <<= bits
         if back == 0:
             out |= data
         else:
             out[back:] |= data[:-back] if back < len(data) else data[:0]
-            out[:back] |= 10
+            out[:back] |= unit.pad
     first = offs[:-1][size > 0]
     length = size[size > 0]
-    for i in range(n - 1):  # the first bytes of a text don't follow the text before
+    for i in range(n - 1):  # the first symbols of a text don't follow the text before
         at = first[length > i] + i
-        keep = (1 << 8 * (i + 1)) - 1
-        pad = sum(10 << 8 * j for j in range(i + 1, n))
+        keep = (1 << bits * (i + 1)) - 1
+        pad = sum(unit.pad << bits * j for j in range(i + 1, n))
         out[at] = out[at] & keep | pad
     return out
 
 
-def counts(docs: DataFrame, n: int = N, wanted: list | None = None) -> DataFrame:
+def counts(docs: DataFrame, unit: Unit = BYTES, wanted: list | None = None) -> DataFrame:
     """(gram, count) over all of docs (model, text), added up within each task before the shuffle; wanted: only of ids in these lists."""
     text, model = "text", "model"
 
@@ -53,9 +115,9 @@ def counts(docs: DataFrame, n: int = N, wanted: list | None = None) -> DataFrame
                 use[order] = in_lists(wanted, ids[order])
                 batch = batch.filter(pa.array(use))
             for part in slices(batch, text, 4 << 20):
-                data, offs, _ = texts(part.column(text))
+                data, offs = unit.symbols(part.column(text))
                 number = part.column(model).to_numpy().astype(np.int64)
-                key = codes(data, offs, n) | np.repeat(number, np.diff(offs)) << 8 * n
+                key = codes(data, offs, unit) | np.repeat(number, np.diff(offs)) << unit.bits * unit.n
                 key.sort()
                 start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
                 held.append(key[start])
@@ -80,9 +142,9 @@ def _add(grams: list, total: list) -> tuple[np.ndarray, np.ndarray]:
     return g[start], np.add.reduceat(t, start) if len(start) else t
 
 
-def suffix(gram, k: int, n: int):
-    """Order-k gram (with the model above) of the last k bytes of an order-n gram column."""
-    return F.shiftleft(F.shiftright(gram, 8 * n), 8 * k).bitwiseOR(gram.bitwiseAND((1 << 8 * k) - 1))
+def suffix(gram, k: int, n: int, bits: int = 8):
+    """Order-k gram (with the model above) of the last k symbols of an order-n gram column."""
+    return F.shiftleft(F.shiftright(gram, bits * n), bits * k).bitwiseOR(gram.bitwiseAND((1 << bits * k) - 1))
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -92,22 +154,23 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return tuple(min(max(d, 0.1 * (i + 1)), 0.95 * (i + 1)) for i, d in enumerate(raw))
 
 
-def estimates(grams: DataFrame, n: int = N) -> DataFrame:
+def estimates(grams: DataFrame, unit: Unit = BYTES) -> DataFrame:
     """(k, gram, logp, backoff): interpolated modified Kneser-Ney (Chen and Goodman, 1998).
 
-    `logp` is that of the last byte after the others, for grams that were seen; `backoff` the log of the weight that a
+    `logp` is that of the last symbol after the others, for grams that were seen; `backoff` the log of the weight that a
     context gives to the order below, on the rows of contexts (their logp is null if only the context was seen).
-    The highest order has raw counts, the others count distinct preceding bytes. Order 0 is uniform over 256 bytes.
+    The highest order has raw counts, the others count distinct preceding symbols. Order 0 is uniform over the unit's symbols.
     """
+    n, bits = unit.n, unit.bits
     levels = {n: grams.select("gram", F.col("count").alias("a"))}
     for k in range(n - 1, 0, -1):
-        levels[k] = levels[k + 1].select(suffix(F.col("gram"), k, k + 1).alias("gram")).groupBy("gram").agg(F.count("*").alias("a"))
+        levels[k] = levels[k + 1].select(suffix(F.col("gram"), k, k + 1, bits).alias("gram")).groupBy("gram").agg(F.count("*").alias("a"))
     every = None
     for k, level in levels.items():
         level = level.select(F.lit(k).alias("k"), "gram", "a")
         every = level if every is None else every.union(level)
     every = stash(every, "grams")
-    model = F.expr("shiftright(gram, 8 * k)")
+    model = F.expr(f"shiftright(gram, {bits} * k)")
     tiny = every.where("a <= 4").groupBy("k", model.alias("m")).pivot("a", [1, 2, 3, 4]).count().na.fill(0)  # a row for each order and model
     tiny = {(r.k, r.m): _discounts(*(r[str(i)] for i in (1, 2, 3, 4))) for r in tiny.collect()}
     discounts = grams.sparkSession.createDataFrame([(k, m, *d) for (k, m), d in tiny.items()] or [(0, 0, 0.1, 0.2, 0.3)], "k int, m long, d1 double, d2 double, d3 double")
@@ -115,16 +178,16 @@ def estimates(grams: DataFrame, n: int = N) -> DataFrame:
     every = every.withColumn("d", F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3")))
     out, below = None, None
     for k in range(1, n + 1):
-        seen = every.where(F.col("k") == k).select("gram", "a", "d", F.shiftright("gram", 8).alias("rest"), F.expr(f"shiftright(gram, {8 * k})").alias("m"))
+        seen = every.where(F.col("k") == k).select("gram", "a", "d", F.expr(f"shiftright(gram, {bits * k})").alias("m"))
         # the context of order k - 1, with the model above it
-        seen = seen.withColumn("context", F.shiftleft("m", 8 * (k - 1)).bitwiseOR(F.shiftright("gram", 8).bitwiseAND((1 << 8 * (k - 1)) - 1)))
+        seen = seen.withColumn("context", F.shiftleft("m", bits * (k - 1)).bitwiseOR(F.shiftright("gram", bits).bitwiseAND((1 << bits * (k - 1)) - 1)))
         total = seen.groupBy("context").agg(F.sum("a").alias("total"), F.sum("d").alias("held"))
         rows = seen.join(total, "context")
         own = (F.col("a") - F.col("d")) / F.col("total")
         if below is None:
-            p = rows.select("gram", (own + F.col("held") / F.col("total") / 256).alias("p"))
+            p = rows.select("gram", (own + F.col("held") / F.col("total") / unit.size).alias("p"))
         else:
-            rows = rows.withColumn("low", suffix(F.col("gram"), k - 1, k))
+            rows = rows.withColumn("low", suffix(F.col("gram"), k - 1, k, bits))
             p = rows.join(below.select(F.col("gram").alias("low"), F.col("p").alias("q")), "low").select("gram", (own + F.col("held") / F.col("total") * F.col("q")).alias("p"))
         below = stash(p, f"order-{k}")
         weight = total.select(F.lit(k - 1).alias("k"), F.col("context").alias("gram"), F.lit(None).cast("double").alias("logp"), F.log(F.col("held") / F.col("total")).alias("backoff"))
@@ -174,46 +237,47 @@ def find(shards: list, k: int, grams: np.ndarray, what: int) -> np.ndarray:
     return out
 
 
-def cut(grams: np.ndarray, k: int, n: int) -> np.ndarray:
-    """Order-k gram of the last bytes, with the model."""
-    return grams >> 8 * n << 8 * k | grams & ((1 << 8 * k) - 1)
+def cut(grams: np.ndarray, k: int, n: int, bits: int = 8) -> np.ndarray:
+    """Order-k gram of the last symbols, with the model."""
+    return grams >> bits * n << bits * k | grams & ((1 << bits * k) - 1)
 
 
-def resolve(grams: np.ndarray, seen, weight, n: int = N) -> np.ndarray:
-    """Log probabilities of the last bytes of grams: seen(k, grams) where an order has them, else with weight(k, contexts) from the order below."""
+def resolve(grams: np.ndarray, seen, weight, unit: Unit = BYTES) -> np.ndarray:
+    """Log probabilities of the last symbols of grams: seen(k, grams) where an order has them, else with weight(k, contexts) from the order below."""
+    n, bits = unit.n, unit.bits
     out = np.zeros(len(grams))
     open_ = np.arange(len(grams))
     for k in range(n, 0, -1):
-        g = cut(grams[open_], k, n)
+        g = cut(grams[open_], k, n, bits)
         p = seen(k, g)
         got = ~np.isnan(p)
         out[open_[got]] += p[got]
         open_, g = open_[~got], g[~got]
         if not len(open_):
             return out
-        context = g >> 8 * k << 8 * (k - 1) | (g >> 8) & ((1 << 8 * (k - 1)) - 1)
+        context = g >> bits * k << bits * (k - 1) | (g >> bits) & ((1 << bits * (k - 1)) - 1)
         out[open_] += np.nan_to_num(weight(k - 1, context))
-    out[open_] -= np.log(256)
+    out[open_] -= np.log(unit.size)
     return out
 
 
 class Scorer:
     """Sums of log probabilities over texts; grams already resolved in this task are kept, up to `most` of them at a time."""
 
-    def __init__(self, seen, weight, n: int = N, most: int = 2_000_000):
-        self.seen, self.weight, self.n, self.most = seen, weight, n, most
+    def __init__(self, seen, weight, unit: Unit = BYTES, most: int = 2_000_000):
+        self.seen, self.weight, self.unit, self.most = seen, weight, unit, most
         self.grams, self.logp = np.zeros(0, np.int64), np.zeros(0)
 
     def __call__(self, data: np.ndarray, offs: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each text, the sum and the sum of squares."""
-        key = codes(data, offs, self.n) | np.repeat(model.astype(np.int64), np.diff(offs)) << 8 * self.n
+        key = codes(data, offs, self.unit) | np.repeat(model.astype(np.int64), np.diff(offs)) << self.unit.bits * self.unit.n
         uniq, inverse = np.unique(key, return_inverse=True)
         at = np.minimum(np.searchsorted(self.grams, uniq), max(len(self.grams) - 1, 0))
         known = self.grams[at] == uniq if len(self.grams) else np.zeros(len(uniq), bool)
         value = np.empty(len(uniq))
         value[known] = self.logp[at[known]]
         new = uniq[~known]
-        value[~known] = resolve(new, self.seen, self.weight, self.n)
+        value[~known] = resolve(new, self.seen, self.weight, self.unit)
         if len(self.grams) + len(new) > self.most:
             self.grams, self.logp = uniq, value
         else:

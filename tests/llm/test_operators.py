@@ -234,6 +234,39 @@ def test_kneser_ney_and_trie(spark):
     assert abs(got[1].log_prob - want) < 0.03 * len(CORPUS[1]) and got[5].perplexity is None and got[9].n_bytes == 0
 
 
+def test_pieces_tell_word_order(spark, proto):
+    import sentencepiece
+
+    unit = ngrams.Pieces(proto=proto)
+    some = ["the cat sat on the mat", "a\nb", None, "", "  ", "日本🎉"]
+    ids, offs = unit.symbols(pa.array(some))
+    sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+    assert ids[: offs[1]].tolist() == sp.encode(some[0]) and np.diff(offs).tolist()[2:4] == [0, 0] and offs[5] > offs[4]
+    assert sp.decode(ids[offs[1] : offs[2]].tolist()).split() == ["a", "b"] and (ids < unit.size).all()
+    grams = ngrams.codes(ids, offs, unit)
+    want = [1, 1, 1, *ids[: offs[1]].tolist()]
+    assert [int(g) for g in grams[: offs[1]]] == [sum(x << 15 * (3 - j) for j, x in enumerate(want[i : i + 4])) for i in range(offs[1])]
+    rng = random.Random(31)
+    stock = ["the", "cat", "sat", "on", "a", "mat", "dog", "and", "end"]
+    docs = [(i, " ".join(rng.choice(stock) for _ in range(12))) for i in range(300)] + [(900, "the cat and the dog sat on a mat"), (901, "the cat and the dog sat on a mat"), (902, "zq"), (903, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    m = eftrie.train(df, unit=unit)
+    brute = collections.Counter(tuple(x[i : i + 4]) for _, t in docs for x in [[1, 1, 1, *(sp.encode(t) if t else [])]] for i in range(len(x) - 3))
+    got = {r["gram"]: r["count"] for r in ngrams.counts(df.selectExpr("0L AS model", "text"), unit).collect()}
+    assert got == {sum(x << 15 * (3 - j) for j, x in enumerate(g)): c for g, c in brute.items()}
+    seen = [(900, "the cat and the dog sat on a mat"), (1, "mat a on sat dog the and cat the"), (2, ""), (3, None)]
+    out = {r.doc_id: r for r in eftrie.scores(spark.createDataFrame(seen, df.schema), m).collect()}
+    assert out[900].n_bytes == out[1].n_bytes == 32 and out[900].log_prob > out[1].log_prob + 1 and out[2].perplexity is None and out[3].n_bytes == 0
+    table = ngrams.save(ngrams.estimates(ngrams.counts(df.selectExpr("0L AS model", "text"), unit), unit))
+    g = np.array(sorted(got))
+    exact = ngrams.resolve(g, lambda k, x: ngrams.find(table, k, x, 0), lambda k, x: ngrams.find(table, k, x, 1), unit)
+    assert np.abs(ngrams.resolve(g, m.seen, m.weight, unit) - exact).max() < 0.15 and (exact < 0).all()
+    first = g[g >> 15 == g[0] >> 15]  # what follows a context has a probability of 1 in all
+    context = (int(first[0]) >> 15) << 15
+    every = ngrams.resolve(context + np.arange(unit.size), lambda k, x: ngrams.find(table, k, x, 0), lambda k, x: ngrams.find(table, k, x, 1), unit)
+    assert abs(np.exp(every).sum() - 1) < 1e-3
+
+
 @pytest.mark.parametrize("n,u", [(1, 5), (50, 10), (1000, 10**6), (300, 300), (5, 10**12), (64, 0)])
 def test_elias_fano(n, u):
     v = np.sort(np.random.default_rng(n).integers(0, u + 1, n))
