@@ -8,9 +8,12 @@ by a temperature fitted on held-out lines, and a family is given only above the
 unknown lines exceed. A given family is confirmed if the paragraph's word 2-grams agree with one of the family's templates: shared
 grams, weighed by how few families have them, over those of the shorter of the two, at least `agree`.
 
+A paragraph of under SURE words gives the classifier little: it agrees by its share of the whole template, and is unknown unless
+confirmed, as 'All rights reserved.' is.
+
 Result: (doc_id, line, family, probability, agreement, confirmed) of each paragraph that isn't unknown.
 
-Edge cases: null and empty texts have no paragraphs, and those under `shortest` words are unknown. Null ids are kept as such.
+Edge cases: null and empty texts have no paragraphs, and those under `shortest` words (1: without words) are unknown. Null ids are kept as such.
 Repeated rows are each reported. Ties of probability go to the first family by name. A sample without lines (an empty
 table) leaves the prose as "unknown" examples; the scan of an empty table gives none.
 """
@@ -23,21 +26,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from .kernel import U, Words, grams_at, slices, texts, window_hash, words, Q
 
-BITS, NEGATIVES, LEAK, AGREE, SHORTEST = 16, 4_000, 0.0005, 0.6, 4
+BITS, NEGATIVES, LEAK, AGREE, SHORTEST, SURE = 16, 4_000, 0.0005, 0.6, 1, 4
 
 TEMPLATES = {
-    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "This project is released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "agpl": ["GNU Affero General Public License", "This program is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "apache": ["Apache License", "Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "This project is released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause"],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution 4.0 International license.", "SPDX-License-Identifier: CC-BY-4.0"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "You may not use the material for commercial purposes under the Creative Commons Attribution-NonCommercial license.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "cc0": ["Dedicated to the public domain under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: CC0-1.0"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/", "Released under the GPL version 2.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "mit": ["Released under the MIT License.", "This project is licensed under the MIT License, see the LICENSE file for details.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", "SPDX-License-Identifier: MIT"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "proprietary": ["All rights reserved. No part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher.", "Copyright 2020 Example Company. All rights reserved.", "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."],
+    "gpl": ["GNU General Public License", "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/", "Released under the GPL version 2.", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "lgpl": ["GNU Lesser General Public License", "This library is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "mit": ["MIT License", "The MIT License (MIT)", "Released under the MIT License.", "This project is licensed under the MIT License, see the LICENSE file for details.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", "SPDX-License-Identifier: MIT"],
+    "mpl": ["Mozilla Public License", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "proprietary": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher.", "Copyright 2020 Example Company. All rights reserved.", "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
 PROSE = ["She renewed her driving license at the office last week.", "The restaurant lost its liquor license after the inspection.", "The version of the story that he told was very different.", "A general public meeting was held in the town hall on Monday.", "The software was easy to use and came with a manual.", "He was granted permission to leave the building early.", "The copy of the letter was kept in a drawer of the desk.", "The commons was open to the public in the summer.", "They released the new version of the record in the spring.", "The warranty on the car ran out two years ago.", "Fishing without a license is not allowed on this river.", "The creative team works under the direction of the editor.", "Terms and conditions were discussed at the meeting of the board.", "The source of the river lies high in the mountains.", "The publisher sold two million copies of the book.", "The files were moved to another office by the new company.", "Work began under the old bridge in the second week of May.", "The pilot's licence was checked before the flight.", "The university gave a degree and a license to teach.", "The notice on the door said that the shop was closed."]
 UNKNOWN = "unknown"
@@ -85,7 +88,7 @@ def _alter(rng, text: str) -> str:
         n = int(rng.integers(10, len(w) + 1))
         i = int(rng.integers(0, len(w) - n + 1))
         w = w[i : i + n]
-    rate = rng.choice([0.0, 0.0, 0.05, 0.1])
+    rate = rng.choice([0.0, 0.0, 0.05, 0.1]) if len(w) > 3 else 0.0  # a word of a title alone is no licence
     w = [x for x in w if rng.random() >= rate]
     w = [x if rng.random() >= rate else "".join(rng.choice(list("abcdefghij"), 5)) for x in w]
     if rng.random() < 0.3:
@@ -192,7 +195,8 @@ class Classifier:
         np.add.at(shared, doc[hit], self.member[place[hit]])
         # grams that no template has weigh 1
         own = np.bincount(doc, minlength=n) - np.bincount(doc[hit], 1 - self.member[place[hit]].max(1), minlength=n)
-        score = shared / np.maximum(np.minimum(self.size[None, :], own[:, None]), 1e-9)
+        few = np.diff(w.off)[slice(None) if rows is None else rows] < SURE
+        score = shared / np.maximum(np.where(few[:, None], self.size, np.minimum(self.size, own[:, None])), 1e-9)
         out = np.zeros((n, len(TEMPLATES)))
         for t, f in enumerate(self.family_of):
             out[:, f] = np.maximum(out[:, f], score[:, t])
@@ -205,6 +209,8 @@ class Classifier:
         top = p[np.arange(len(p)), best]
         at = np.flatnonzero((top >= self.least) & (p.argmax(1) == best) & (np.diff(w.off) >= shortest))
         a = self.agreement(w, at)[np.arange(len(at)), best[at]] if len(at) else np.zeros(0)
+        keep = (np.diff(w.off)[at] >= SURE) | (a >= agree)
+        at, a = at[keep], a[keep]
         return at, best[at], top[at].astype(float), a, a >= agree
 
 
@@ -224,7 +230,7 @@ def train(docs: DataFrame, text: str = "text", negatives: int = NEGATIVES, seed:
     rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
     total = rows.count()
     draw = F.xxhash64("text", F.lit(seed + 13)) / 2.0**64 + 0.5
-    lines = rows.where(draw < min(1.0, negatives / max(total, 1))).select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 10 and 2000")
+    lines = rows.where(draw < min(1.0, negatives / max(total, 1))).select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 1 and 2000")
     share = F.xxhash64("line", F.lit(seed + 17)) / 2.0**64 + 0.5
     return Classifier([r.line for r in lines.where(share < 0.2).limit(negatives).collect()], seed)
 

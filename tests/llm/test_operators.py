@@ -177,6 +177,16 @@ def test_licences(spark, model):
     assert licences.licences(empty(spark), licences.train(empty(spark))).count() == 0
 
 
+def test_short_licence_lines(spark, model):
+    rng = random.Random(41)
+    titles = {"All rights reserved.": "proprietary", "ALL RIGHTS RESERVED": "proprietary", "MIT License": "mit", "BSD License": "bsd", "Apache License": "apache", "Mozilla Public License": "mpl", "GNU General Public License": "gpl", "GNU Lesser General Public License": "lgpl"}
+    other = ["license", "All", "rights", "reserved", "Public", "w1", "w5 w7", "w3 w9 w2", "", "?!", "The license"]
+    rows = [(i, f"{words(rng, 30)}\n{t}\n{words(rng, 30)}") for i, t in enumerate([*titles, *other])]
+    got = licences.licences(frame(spark, rows), model).collect()
+    assert sorted((r.doc_id, r.line, r.family) for r in got if r.confirmed) == [(i, 1, f) for i, f in enumerate(titles.values())]
+    assert {r.doc_id for r in got if not r.confirmed} <= set(range(len(titles), len(rows)))
+
+
 def test_altered_templates(model):
     rng = np.random.default_rng(9)
     hits = total = 0
