@@ -42,7 +42,7 @@ def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.repeated_lines(table(spark, sf_dir, "documents"))
+    return linededup.repeated_lines(table(spark, sf_dir, "documents"), least=1)
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

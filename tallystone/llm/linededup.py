@@ -1,7 +1,7 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines (between line feeds) are compared in lower case with white space squeezed, as Unicode characters. Lines of under
-`shortest` characters are left alone. Longer ones match if equal, or within edit distance `tau`:
+Lines (between line feeds) are compared in lower case with white space squeezed, as Unicode characters. Those of
+`least` characters or more match if equal, by their hashes; those of `shortest` or more also within edit distance `tau`:
 
 1. A distinct line is cut into tau + 1 even segments. If two lines are within tau, the longer holds a segment of the shorter,
    at a place that the difference in length and the edits to either side leave open (the multi-match-aware substrings of
@@ -144,8 +144,9 @@ def near_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", tau: int
     return _search(docs, id, text, tau, shortest)[0]
 
 
-def _search(docs: DataFrame, id: str, text: str, tau: int, shortest: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs of near_lines, and (name, doc, line) of all lines."""
+def _search(docs: DataFrame, id: str, text: str, tau: int, shortest: int, least: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs of near_lines, and (name, doc, line) of all lines of `least` characters or more (None: of `shortest`)."""
+    least = shortest if least is None else max(1, min(least, shortest))
     if tau < 1 or shortest <= 2 * tau + 2:
         raise ValueError("tau must be 1 or more, and lines longer than 2 * tau + 2")
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
@@ -199,7 +200,7 @@ def _search(docs: DataFrame, id: str, text: str, tau: int, shortest: int) -> tup
     def fetch(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                lines = Lines(*texts(part.column("text"))[:2], shortest)
+                lines = Lines(*texts(part.column("text"))[:2], least)
                 at = lines.distinct()
                 at = at[in_lists(wanted, signed(lines.key[at]))]
                 chars = np.full(len(lines.key), None, object)
@@ -245,9 +246,9 @@ def _pairs(held: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
 
 
-def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", tau: int = TAU, shortest: int = SHORTEST) -> DataFrame:
+def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", tau: int = TAU, shortest: int = SHORTEST, least: int | None = None) -> DataFrame:
     """(doc_id, line, first_doc_id, first_line, exact): each line that isn't the first of its group, and that first line."""
-    pairs, places = _search(docs, id, text, tau, shortest)
+    pairs, places = _search(docs, id, text, tau, shortest, least)
     roots = stash(components(stash(pairs, "near-lines").select("a", "b")).withColumnRenamed("node", "name"), "line-groups")
 
     def firsts(batches):
@@ -270,9 +271,9 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", tau:
     return found.select(F.col("doc").alias(id), "line", F.col("d").alias(f"first_{id}"), F.col("l").alias("first_line"), "exact")
 
 
-def remove_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", chars: str | None = "n_chars", tau: int = TAU, shortest: int = SHORTEST) -> DataFrame:
+def remove_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", chars: str | None = "n_chars", tau: int = TAU, shortest: int = SHORTEST, least: int | None = None) -> DataFrame:
     """docs without their repeated lines; `chars`, if docs has it, becomes the new length. Documents left blank go."""
-    gone = repeated_lines(docs, id, text, tau, shortest).groupBy(F.col(id).alias("__id")).agg(F.collect_set("line").alias("__gone"))
+    gone = repeated_lines(docs, id, text, tau, shortest, least).groupBy(F.col(id).alias("__id")).agg(F.collect_set("line").alias("__gone"))
     both = docs.join(gone, docs[id] == F.col("__id"), "left")
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))

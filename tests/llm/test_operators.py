@@ -369,6 +369,19 @@ def test_lines_edges(spark):
     assert linededup.repeated_lines(empty(spark)).count() == 0 and linededup.remove_lines(empty(spark)).count() == 0
 
 
+def test_short_lines_that_repeat(spark, tmp_path):
+    x = "a line that is long enough to count"
+    rows = [(1, f"And ornd.\n{x}\n\né"), (2, f"own of 2\n AND  ornd. \n\nx{x}\nÉ"), (3, "And ornd"), (4, "ornd"), (None, "And ornd."), (5, "And ornd.\n and ornd.")]
+    rows += [(100 + i, f"unlike {i * 7919}") for i in range(50)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    from tallystone.llm.entries import op5_near_lines
+
+    got = sorted((r.doc_id, r.line, r.first_doc_id, r.first_line, r.exact) for r in op5_near_lines(spark, str(tmp_path)).collect())
+    assert got == [(2, 1, 1, 0, True), (2, 3, 1, 1, False), (2, 4, 1, 3, True), (5, 0, 1, 0, True), (5, 1, 1, 0, True)]
+    out = {r.doc_id: r.text for r in linededup.remove_lines(frame(spark, rows), least=1).collect()}
+    assert out[2] == "own of 2\n" and out[1] == rows[0][1] and 5 not in out and out[3] == "And ornd" and out[None] == "And ornd."
+
+
 # ---- 6 SimHash
 
 def test_near_pairs_against_all_pairs(spark):
