@@ -24,7 +24,7 @@ from . import ngrams
 from .kernel import slices, texts
 from .shared import sorted_lists, stash
 
-QUANTILE, Z, SLACK, LANGUAGES = 0.995, 2.0, 0.05, 200
+QUANTILE, Z, SLACK = 0.995, 2.0, 0.05
 
 
 def scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, z: float = Z, slack: float = SLACK) -> DataFrame:
@@ -34,15 +34,15 @@ def scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     trusted = labels.where(f"{id} is not null").groupBy(F.col(id).cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("id")
     held = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0
     for_counts = sorted_lists(trusted.where(~held), "trusted")
-    common = [r.lang for r in docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    number = F.coalesce(F.create_map(*[F.lit(x) for i, c in enumerate(common, 1) for x in (c, i)])[F.col("lang")] if common else F.lit(None).cast("int"), F.lit(0)).cast("long")
-    docs = docs.withColumn("model", number)
+    common = [r.lang for r in docs.where("lang is not null").join(trusted, "id", "left_semi").select("lang").distinct().orderBy("lang").collect()]  # the languages of trusted text
+    numbers = spark.createDataFrame([(c, i) for i, c in enumerate(common, 1)], "lang string, model long")
+    docs = docs.join(F.broadcast(numbers), "lang", "left").select("id", "text", "lang", F.coalesce("model", F.lit(0)).alias("model"))
     grams = stash(ngrams.counts(docs, wanted=for_counts), "counts")
     low = (1 << 8 * ngrams.N) - 1
     pooled = grams.groupBy(F.col("gram").bitwiseAND(low).alias("gram")).agg(F.sum("count").alias("count"))
     grams = grams.where(F.col("gram") > low).union(pooled)
+    have = {0} | {r.m for r in grams.select(F.shiftright("gram", 8 * ngrams.N).alias("m")).distinct().collect()}  # a row a language
     shards = ngrams.save(ngrams.estimates(grams))
-    have = {0} | {m for k, lo, hi, _ in shards if k == 1 for m in range(lo >> 8, (hi >> 8) + 1)}
     empty = not shards
 
     def score(batches):

@@ -312,6 +312,18 @@ def test_quality(spark):
     assert quality.scores(empty(spark), labels).count() == 0
 
 
+def test_languages_without_trusted_text(spark):
+    rng = random.Random(51)
+    text = lambda: " ".join(rng.choice(["the", "cat", "sat", "and", "on", "mat", "with"]) for _ in range(60))
+    rows = [(i, text(), "aa") for i in range(120)] + [(200 + i, text(), "bb") for i in range(90)] + [(400 + i, text(), "cc") for i in range(60)]
+    rows += [(1000 + i, text(), f"x{i:03}") for i in range(230)] + [(2000, text(), "dd"), (2001, text(), None), (3000, "".join(chr(rng.randrange(33, 126)) for _ in range(300)), "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(120), *range(400, 460)]], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.scores(docs, labels).collect()}
+    assert len(got) == len(rows) and sum(got[200 + i].accepted for i in range(90)) >= 86 and max(got[200 + i].perplexity for i in range(90)) < 20
+    assert sum(got[1000 + i].accepted for i in range(230)) >= 220 and got[2001].perplexity < 20 and not got[3000].accepted
+
+
 # ---- 5 lines
 
 def edits(a, b):
