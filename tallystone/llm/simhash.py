@@ -1,7 +1,7 @@
 """SimHash near-duplicates by vantage-point trees.
 
 A document's fingerprint is the 128-bit SimHash of its word bigrams. Two documents are near copies if
-their fingerprints differ in at most `radius` bits and their word counts by a factor of at most `ratio`:
+their fingerprints differ in at most `radius` bits. A `ratio` may bound the factor of their word counts too (by default nothing does):
 both at once is a ball in the metric max(Hamming / radius, |log count ratio| / log ratio), so the triangle
 inequality holds for either part and a vantage point may measure either.
 
@@ -28,7 +28,7 @@ from .kernel import Words, mix, signed, word_batches
 from .shared import stash
 
 U = np.uint64
-RADIUS, RATIO = 26, 1.3
+RADIUS, RATIO = 26, np.inf
 SHARD, SAMPLE, LEAF = 20_000, 20_000, 512
 
 

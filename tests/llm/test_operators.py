@@ -420,6 +420,17 @@ def test_near_pairs_against_all_pairs(spark):
             assert got >> i & 1 == (h[0] >> i & 1 if 2 * votes == len(h) else 2 * votes > len(h))
 
 
+def test_lengths_do_not_matter(spark):
+    rng = random.Random(61)
+    docs = [words(rng, rng.randrange(30, 90), 5000) for _ in range(120)]
+    docs += [f"{x} {x}" for x in docs[:20]] + [" ".join(x.split()[: len(x.split()) * 7 // 10]) for x in docs[20:60]]
+    _, hi, lo = simhash.fingerprints_of(of(docs))
+    far = np.bitwise_count(hi[:, None] ^ hi).astype(int) + np.bitwise_count(lo[:, None] ^ lo)
+    want = {(j, i) for i in range(len(docs)) for j in range(i) if far[i, j] <= simhash.RADIUS}
+    got = {(r.a, r.b) for r in simhash.near_pairs(simhash.fingerprints(frame(spark, list(enumerate(docs)))), shard=40, sample=100).collect()}
+    assert got == want and {(i, 120 + i) for i in range(20)} <= got and sum(b >= 140 for _, b in got) > 20
+
+
 def test_short_texts_are_not_near():
     rng = random.Random(13)
     _, hi, lo = simhash.fingerprints_of(of([" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (2, 3, 5, 7) for _ in range(150)]))
