@@ -1,10 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 1. Over all documents, the occurrences of the benchmark items' words are counted.
-2. A `k`-gram is the rarer, the smaller the product of its words' counts. An item's seeds are the rarer `share` of its grams. (The
+2. A `k`-gram is the rarer, the smaller the product of its words' counts. An item's seeds are the rarer `share` of its grams, and the rarest
+   in each run of `enough` words, so that a verbatim passage of so many words has one. (The
    grams' own counts would mislead: part of an item, copied often, would look common.) Where a seed stands in a document, the
    passage around it is aligned with the item: 1 for a matching word, -1 for another word and for one left out on either side.
-3. A passage leaks an item of m words if its best local score is at least `least` * m, and at least min(m, `floor`).
+3. A passage leaks an item of m words if its best local score is at least `least` * m or `enough` (words that
+   suffice, however long the item), and at least min(m, `floor`).
 
 The items' words are sent to the executors in groups of up to `most` bytes; each group is one more scan, so a benchmark may
 have any size. No text is shuffled.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .kernel import signed, texts, word_batches, words
 
-K, SHARE, LEAST, FLOOR, MOST = 3, 0.5, 0.4, 8, 1_000_000
+K, SHARE, LEAST, ENOUGH, FLOOR, MOST = 3, 0.5, 0.4, 13, 8, 1_000_000
 
 
 def align(item: np.ndarray, m: np.ndarray, passage: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +75,7 @@ class Items:
         self.gram, self.at = h[order], at[order]
         self.owner = w.doc[self.at]
 
-    def seeds(self, count: dict, share: float) -> "Items":
+    def seeds(self, count: dict, share: float, enough: int = ENOUGH) -> "Items":
         each = np.log1p([count.get(int(h), 0) for h in signed(self.hash)])
         n = sum(each[self.at + i] for i in range(self.k)) if len(self.at) else np.zeros(0)
         keep = np.zeros(len(n), bool)
@@ -81,12 +83,17 @@ class Items:
             mine = np.flatnonzero(self.owner == i)
             if len(mine):
                 keep[mine] = n[mine] <= np.quantile(n[mine], share, method="higher")
+                mine = mine[np.argsort(self.at[mine])]
+                run = max(enough - self.k + 1, 1)
+                if len(mine) >= run:
+                    least = np.lib.stride_tricks.sliding_window_view(n[mine], run).argmin(1)
+                    keep[mine[least + np.arange(len(least))]] = True
         out = object.__new__(Items)
         out.__dict__ = self.__dict__ | {"gram": self.gram[keep], "at": self.at[keep], "owner": self.owner[keep]}
         return out
 
 
-def leaks_in(w, items: Items, least: float, floor: int) -> tuple[np.ndarray, ...]:
+def leaks_in(w, items: Items, least: float, floor: int, enough: int = ENOUGH) -> tuple[np.ndarray, ...]:
     """(text, item, score, first word, word after the last) of leaks among the texts of w."""
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
     at, h = w.grams(items.k)
@@ -128,13 +135,13 @@ def leaks_in(w, items: Items, least: float, floor: int) -> tuple[np.ndarray, ...
         passage = w.hash[np.minimum(a[p][:, None] + x, len(w.hash) - 1)]
         text = items.hash[np.minimum(items.off[item[p]][:, None] + y, len(items.hash) - 1)]
         score, first, last = align(text, m[p], passage, size[p])
-        ok = (score >= least * m[p]) & (score >= np.minimum(m[p], floor))
+        ok = ((score >= least * m[p]) | (score >= enough)) & (score >= np.minimum(m[p], floor))
         q = p[ok]
         out.append((doc[q], item[q], score[ok].astype(np.int64), a[q] + first[ok] - w.off[doc[q]], a[q] + last[ok] - w.off[doc[q]]))
     return tuple(np.concatenate([o[c] for o in out]) for c in range(5))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = K, share: float = SHARE, least: float = LEAST, floor: int = FLOOR, most: int = MOST) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = K, share: float = SHARE, least: float = LEAST, floor: int = FLOOR, most: int = MOST, enough: int = ENOUGH) -> DataFrame:
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
     schema = f"{id} long, {item_id} long, score long, similarity double, start_word long, end_word long"
@@ -153,12 +160,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(signed(known[at])), pa.array(total[at])], ["word", "n"])
 
         rows = docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # up to `most` words
-        seeds = group.seeds({r.word: r.n for r in rows}, share)
+        seeds = group.seeds({r.word: r.n for r in rows}, share, enough)
 
         def search(batches, seeds=seeds):
             lengths = np.diff(seeds.off)
             for part, w in word_batches(batches):
-                doc, item, score, a, b = leaks_in(w, seeds, least, floor)
+                doc, item, score, a, b = leaks_in(w, seeds, least, floor, enough)
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), pa.array(seeds.ids[item]), pa.array(score), pa.array(score / np.maximum(lengths[item], 1)), pa.array(a), pa.array(b)], [id, item_id, "score", "similarity", "start_word", "end_word"])
 
         some = docs.mapInArrow(search, schema)

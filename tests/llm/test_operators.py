@@ -489,6 +489,17 @@ def test_leaks(spark):
     assert decontam.leaks(empty(spark), bench).count() == 0 and decontam.leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_excerpts_of_long_items(spark):
+    rng = random.Random(71)
+    items = [words(rng, n, 5000) for n in (500, 59)]
+    part = lambda i, a, b: " ".join(items[i].split()[a:b])
+    rows = [(1, f"{words(rng, 200, 5000)} {part(0, 100, 299)} {words(rng, 200, 5000)}"), (2, f"{words(rng, 50, 5000)} {part(1, 20, 43)} {words(rng, 50, 5000)}"), (3, part(0, 300, 325)), (4, f"{words(rng, 40, 5000)} {part(0, 10, 17)} {words(rng, 40, 5000)}"), (5, words(rng, 900, 5000))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.end_word) for r in decontam.leaks(frame(spark, rows), bench).collect()}
+    assert set(got) == {(1, 0), (2, 1), (3, 0)} and got[2, 1] == (50, 73)
+    assert {r.doc_id for r in decontam.without_leaks(frame(spark, rows), bench).collect()} == {4, 5}
+
+
 # ---- 8 sharding
 
 def test_sharding(spark):
