@@ -10,7 +10,7 @@ if at least `least` words in a row stand in two documents. Steps:
    shard (of up to `shard` bytes) Larsson-Sadakane refinement gives the suffix array, Kasai's method the common
    prefixes, and runs of the array with common prefixes of `least` words the shard's shared windows.
 3. One suffix of each run, and those that are alone in their shard, go on, with the windows' hashes, by anchor to
-   the merge, which looks them up by binary search in the sorted union of the shards' lists.
+   the merge, which regroups the hashes; no suffix is searched in another shard's array. Exact but for hash collisions.
 
 Result: (doc_id, start_word, end_word, first), the maximal runs of words covered by shared windows; `first` holds for
 windows that are the first of their kind (smallest id, then position), the others are repeats.
