@@ -1,34 +1,124 @@
 """Language-model scoring by an n-gram trie of Elias-Fano sequences.
 
-The model is interpolated modified Kneser-Ney over all n-grams of every document: of 4 pieces of a SentencePiece vocabulary, or of
-5 bytes (`unit`). Its grams are sharded by first symbol, in as many shards as their number asks for; a
-shard is a trie whose level k holds, in order, the last symbols of its k-grams, each made monotone by adding the last value of the
-sibling range before (so it is read relative to its context), and monotone pointers to the children. Both are Elias-Fano coded.
-Probabilities and back-off weights are quantised to a byte each, in even steps of their logarithm over each order's range. A shard is a file in the shared
-folder, memory-mapped by the executors. A gram is looked up from the first symbol: in the children's range of the node so far,
-a successor search finds the first value that isn't below base + symbol. Grams are looked up once a task.
+The model is interpolated modified Kneser-Ney (Chen and Goodman, 1998) over all n-grams of every document: of 4 pieces of a
+SentencePiece vocabulary, or of 5 bytes (`unit`). A gram of order k is a long (see ngrams). Training is one job with two shuffles, of
+sorted runs of grams packed by their differences:
 
-Quantising costs little and is part of the score: `find` gives the quantised values.
+1. Each task counts its documents' n-grams. Runs go to shards by the last two symbols, so a shard has all n-grams that end alike:
+   read from the last symbol back, its sorted grams hold the grams of every lower order as prefixes, and a gram's continuation
+   count (the distinct symbols before it) is the number of runs below it.
+2. Grams of all orders go to shards by their first two symbols. A shard is a trie: level k holds, in order, the last symbols of its
+   k-grams, each made monotone by adding the last value of the sibling range before (so it is read relative to its context), and
+   monotone pointers to the children. Both are Elias-Fano coded.
+
+Then the discounts are known, and each shard's counts become probabilities: a level has a byte each for the discounted probability of
+a gram and the weight that it gives as a context to the order below, quantised in even steps of their logarithms over the level's range.
+Sums over contexts of one symbol and the order 1, which are bounded by the vocabulary, are added up by Spark and kept in one small file.
+All files lie in the shared folder and are memory-mapped by the executors.
+
+A gram's probability is the interpolation over its orders; in each, it is looked up from the first symbol: in the children's range of
+the node so far, a successor search finds the first value that isn't below base + symbol. A task looks up the distinct grams of some
+megabytes of text at once, in their order, and each prefix once.
+
+A shard's size is set by the corpus: `each` bytes of text a shard. The grams of one pair of symbols are in one shard; they are
+distinct, so repeated rows don't make a shard larger.
 
 Edge cases: null and empty texts have a sum of 0 over 0 bytes and no perplexity. Null ids are kept; repeated rows each count
-and are each scored. An empty table gives none, and a model without grams is uniform over the symbols. A text's perplexity is a byte's, whatever the unit.
+and are each scored. A very long text is a run by itself, read whole. Ties don't arise. An empty table gives none, and a model without
+grams is uniform over the symbols. A text's perplexity is a byte's, whatever the unit. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
+import io
 import json
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import ngrams
-from .kernel import U, slices, texts
-from .ngrams import BYTES, Unit
+from .kernel import U, mix, slices, texts
+from .ngrams import BYTES, Unit, codes, cut, discounts
 from .shared import map_blob, new_path, stash, write_blob
 
-SHARDS, BINS, EACH = 16, 254, 1_500_000
+CODES, EACH, FLUSH, SLICE = 254, 8 << 20, 4 << 20, 8 << 20
+
+
+# ---- packed runs
+
+def firsts(v: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+
+
+def pack(v: np.ndarray) -> bytes:
+    """Longs, byte plane by byte plane, compressed."""
+    return pa.compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(b: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(b, decompressed_size=8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel()
+
+
+def shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(pair.astype(U)) % U(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
+
+
+RUNS = "shard int, level int, n int, grams binary, counts binary"
+_RUNS = pa.schema([("shard", pa.int32()), ("level", pa.int32()), ("n", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+
+def runs(g: np.ndarray, count: np.ndarray, shard: np.ndarray, level: int) -> pa.RecordBatch:
+    """Rows of RUNS of sorted distinct grams, a row a shard."""
+    order = np.argsort(shard, kind="stable")
+    g, count, shard = g[order], count[order], shard[order]
+    at = firsts(shard)
+    rows = [(int(shard[i]), level, int(j - i), pack(np.diff(g[i:j], prepend=0)), pack(count[i:j])) for i, j in zip(at, np.append(at[1:], len(g)))]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUNS)] if rows else [pa.array([], f.type) for f in _RUNS], schema=_RUNS)
+
+
+def by_shard(batches):
+    """(shard, its rows) of a partition; rows are packed, so those of all its shards may be held."""
+    held: dict[int, list] = {}
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            held.setdefault(row[0], []).append(row)
+    while held:
+        yield held.popitem()
+
+
+def merged(rows: list, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams of one level and their added counts."""
+    some = [r for r in rows if r[1] == level]
+    if not some:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    g = np.concatenate([np.cumsum(unpack(r[3], r[2])) for r in some])
+    c = np.concatenate([unpack(r[4], r[2]) for r in some])
+    order = np.argsort(g, kind="stable")  # of runs that are sorted already
+    g, c = g[order], c[order]
+    at = firsts(g)
+    return g[at], np.add.reduceat(c, at) if len(at) else c
+
+
+def backwards(g: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """Order-k grams with their symbols the other way round, under the model's number."""
+    out = g >> bits * k
+    for i in range(k):
+        out = out << bits | g >> bits * i & ((1 << bits) - 1)
+    return out
+
+
+# ---- the trie
+
+def _bits(v: np.ndarray, width: int) -> np.ndarray:
+    """The low `width` bits of values, packed."""
+    out = np.zeros((len(v) * width + 63) // 64 + 1, U)
+    if width:
+        flat = np.unpackbits(v.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :width]
+        b = np.packbits(flat.ravel(), bitorder="little")
+        out.view(np.uint8)[: len(b)] = b
+    return out
 
 
 class EliasFano:
@@ -37,28 +127,21 @@ class EliasFano:
     @staticmethod
     def encode(v: np.ndarray) -> tuple[dict, list[np.ndarray]]:
         n = len(v)
-        v = v.astype(U)
-        low = max(0, int(v[-1]) // max(n, 1)).bit_length() - 1 if n else 0
-        low = max(low, 0)
-        packed = np.zeros((n * low + 63) // 64 + 1, U)
-        if low:
-            at = np.arange(n) * low
-            x = v & U((1 << low) - 1)
-            word, bit = at >> 6, (at & 63).astype(U)
-            np.bitwise_or.at(packed, word, x << bit)
-            over = np.flatnonzero(bit + U(low) > 64)
-            np.bitwise_or.at(packed, word[over] + 1, x[over] >> (U(64) - bit[over]))
-        ones = (v >> U(low)).astype(np.int64) + np.arange(n)
-        high = np.zeros((int(ones[-1]) >> 6) + 1 if n else 1, U)
-        np.bitwise_or.at(high, ones >> 6, U(1) << (ones & 63).astype(U))
+        low = max(0, (int(v[-1]) // n).bit_length() - 1) if n else 0
+        ones = (v.astype(U) >> U(low)).astype(np.int64) + np.arange(n)
+        size = (int(ones[-1]) >> 6) + 1 if n else 1
+        marks = np.zeros(size * 64, bool)
+        marks[ones] = True
+        high = np.packbits(marks, bitorder="little").view("<u8")
         before = np.concatenate([[0], np.cumsum(np.bitwise_count(high))]).astype(np.uint32)
+        packed = np.concatenate([_bits(v[i : i + (1 << 18)], low)[:-1] for i in range(0, n, 1 << 18)] + [np.zeros(1, U)])  # 2**18 values fill whole words
         return {"n": n, "low": low}, [packed, high, before]
 
     def __init__(self, n: int, low: int, packed: np.ndarray, high: np.ndarray, before: np.ndarray):
         self.n, self.low, self.packed, self.high, self.before = n, low, packed, high, before
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.before, i, "right") - 1
+        word = np.searchsorted(self.before, i.astype(np.uint32), "right") - 1  # of one type, else numpy copies `before`
         r = i - self.before[word]
         w = self.high[word]
         place = np.zeros(len(i), np.int64)
@@ -78,6 +161,9 @@ class EliasFano:
         x = np.where(over, x | self.packed[word + 1] << ((U(64) - bit) & U(63)), x)
         return top << self.low | (x & U((1 << self.low) - 1)).astype(np.int64)
 
+    def all(self) -> np.ndarray:
+        return self[np.arange(self.n)]
+
     def successor(self, lo: np.ndarray, hi: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Of each range lo:hi, the first place whose value is v or more; hi if there is none."""
         lo, end = lo.copy(), hi.copy()
@@ -91,26 +177,28 @@ class EliasFano:
         return lo
 
 
-def build(grams: list[np.ndarray], logp: list[np.ndarray], backoff: list[np.ndarray], bits: int = 8) -> bytes:
-    """A shard: sorted grams of orders 1, 2, ..., whose prefixes are all there, with codes of their values."""
-    head, parts = [], []
+def build(grams: list[np.ndarray], bits: int) -> bytes:
+    """A shard's structure from its sorted grams of orders 1, 2, ..., whose prefixes are all there. Order 1 is kept whole, with the model."""
+    head, parts, size = [], [], 0
     for k, g in enumerate(grams):
         last = g & ((1 << bits) - 1)
         if k:
             parent = np.searchsorted(grams[k - 1], g >> bits)
-            pointer = np.searchsorted(parent, np.arange(len(grams[k - 1]) + 1))
+            new = firsts(parent)
+            n = np.diff(np.append(new, len(g)))
+            base = np.cumsum(np.concatenate([[0], last[new + n - 1][:-1]])) if len(g) else new
+            last = last + np.repeat(base, n)
         else:
-            parent, pointer = np.zeros(len(g), np.int64), np.array([0, len(g)])
-        new = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]])) if len(g) else np.zeros(0, np.int64)
-        size = np.diff(np.concatenate([new, [len(g)]]))
-        base = np.cumsum(np.concatenate([[0], last[new + size - 1][:-1]])) if len(g) else new
+            last = g
+        pointer = np.searchsorted(grams[k + 1] >> bits, g) if k + 1 < len(grams) else np.zeros(0, np.int64)
         level = {}
-        for name, v in (("bytes", last + np.repeat(base, size)), ("pointers", pointer)):
+        for name, v in (("last", last), ("pointers", np.append(pointer, len(grams[k + 1])) if k + 1 < len(grams) else pointer)):
             meta, arrays = EliasFano.encode(v)
-            level[name] = meta | {"at": [(sum(len(p) for p in parts) + sum(a.nbytes for a in arrays[:i]), len(a)) for i, a in enumerate(arrays)]}
-            parts += [a.tobytes() for a in arrays]
-        level["logp"], level["backoff"] = sum(len(p) for p in parts), sum(len(p) for p in parts) + len(g)
-        parts += [logp[k].tobytes(), backoff[k].tobytes(), bytes(-2 * len(g) % 8)]
+            level[name] = meta | {"at": []}
+            for a in arrays:
+                level[name]["at"].append((size, len(a)))
+                parts.append(a.tobytes() + bytes(-a.nbytes % 8))
+                size += a.nbytes + -a.nbytes % 8
         head.append(level)
     text = json.dumps(head).encode()
     text += b" " * (-len(text) % 8)
@@ -118,114 +206,324 @@ def build(grams: list[np.ndarray], logp: list[np.ndarray], backoff: list[np.ndar
 
 
 class Trie:
-    def __init__(self, path: str, bits: int = 8):
+    """A shard: its levels' sequences and, once smoothed, a byte of log probability and one of weight for each gram, with their books."""
+
+    def __init__(self, path: str, bits: int, values: bool = True):
         self.bits = bits
         blob = map_blob(path)
         n = int(blob[:8].view(np.int64)[0])
         body = blob[8 + n :]
-        self.levels = []
+        self.last, self.pointers = [], []
         for level in json.loads(bytes(blob[8 : 8 + n])):
-            ef = {}
-            for name in ("bytes", "pointers"):
+            for name, to in (("last", self.last), ("pointers", self.pointers)):
                 m = level[name]
-                ef[name] = EliasFano(m["n"], m["low"], *(body[at : at + size * w].view(t) for (at, size), w, t in zip(m["at"], (8, 8, 4), (U, U, np.uint32))))
-            count = ef["bytes"].n
-            self.levels.append((ef["bytes"], ef["pointers"], body[level["logp"] :][:count], body[level["backoff"] :][:count]))
-
-    def find(self, k: int, grams: np.ndarray) -> np.ndarray:
-        """Places of order-k grams in their level, -1 for none."""
-        node = np.zeros(len(grams), np.int64)
-        at = np.arange(len(grams))
-        for level in range(k):
-            values, pointers = self.levels[level][:2]
-            symbol = grams[at] >> self.bits * (k - 1 - level) & ((1 << self.bits) - 1)
-            lo, hi = pointers[node[at]], pointers[node[at] + 1]
-            base = np.where(lo > 0, values[np.maximum(lo - 1, 0)], 0) if values.n else lo
-            want = base + symbol
+                to.append(EliasFano(m["n"], m["low"], *(body[at : at + size * w].view(t) for (at, size), w, t in zip(m["at"], (8, 8, 4), (U, U, np.uint32)))))
+        if values:
+            blob = map_blob(path + ".values")
+            k = len(self.last)
+            self.books = blob[: k * 32].view(np.float64).reshape(k, 2, 2)  # by level: least and step of the logs of probabilities and weights
+            self.codes, at = [], k * 32
+            for level in self.last:
+                self.codes.append((blob[at : at + level.n], blob[at + level.n : at + 2 * level.n]))
+                at += 2 * level.n
+
+    def walk(self, k: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted order-k grams (k of 2 or more) and of their contexts, in their levels; -1 for none. Each prefix is searched once."""
+        mask = (1 << self.bits) - 1
+        g = grams >> self.bits * (k - 1)
+        start = firsts(g)
+        node = self.last[0].successor(np.zeros(len(start), np.int64), np.full(len(start), self.last[0].n), g[start])
+        there = node < self.last[0].n
+        there[there] = self.last[0][node[there]] == g[start[there]]
+        node[~there] = -1
+        for level in range(2, k + 1):
+            g = grams >> self.bits * (k - level)
+            up, start = start, firsts(g)
+            above = node[np.searchsorted(up, start, "right") - 1]
+            node = np.full(len(start), -1)
+            at = np.flatnonzero(above >= 0)
+            lo, hi = self.pointers[level - 2][above[at]], self.pointers[level - 2][above[at] + 1]
+            values = self.last[level - 1]
+            want = np.where(lo > 0, values[np.maximum(lo - 1, 0)], 0) + (g[start[at]] & mask)
             place = values.successor(lo, hi, want)
             there = place < hi
             there[there] = values[place[there]] == want[there]
-            node[at[~there]] = -1
-            at, place = at[there], place[there]
-            node[at] = place
-            if not len(at):
-                break
-        return node
+            node[at[there]] = place[there]
+        each = np.diff(np.append(start, len(grams)))
+        return np.repeat(node, each), np.repeat(above, each)
+
+    def value(self, level: int, what: int, nodes: np.ndarray, none: float) -> np.ndarray:
+        """Probabilities (0) or weights (1) of nodes of a level; `none` where there is none."""
+        code = np.where(nodes >= 0, self.codes[level - 1][what][np.maximum(nodes, 0)], 0)
+        lo, step = self.books[level - 1, what]
+        book = np.append(none, np.exp(lo + step * np.arange(CODES)))
+        return book[code]
+
+
+def quantised(v: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """(least, step, codes) of the logs of positive values; 0 is for what isn't there."""
+    out = np.zeros(len(v), np.uint8)
+    at = np.flatnonzero(v > 0)
+    if not len(at):
+        return 0.0, 0.0, out
+    x = np.log(v[at])
+    lo = float(x.min())
+    step = (float(x.max()) - lo) / (CODES - 1)
+    out[at] = 1 + (np.rint((x - lo) / step) if step else 0)
+    return lo, step, out
 
 
+# ---- training
+
 class Model:
-    """The shards and code books; finds quantised values."""
-
-    def __init__(self, shards: dict[int, str], books: dict[tuple[int, int], np.ndarray], count: int, unit: Unit = BYTES):
-        self.shards, self.books, self.count, self.unit, self.open = shards, books, count, unit, {}
-
-    def _value(self, k: int, grams: np.ndarray, what: int) -> np.ndarray:
-        out = np.full(len(grams), np.nan)
-        which = (grams >> self.unit.bits * (k - 1) & ((1 << self.unit.bits) - 1)) % self.count
-        for s in np.unique(which).tolist():
-            if s in self.shards:
-                if s not in self.open:
-                    self.open[s] = Trie(self.shards[s], self.unit.bits)
-                at = np.flatnonzero(which == s)
-                node = self.open[s].find(k, grams[at])
-                got = node >= 0
-                code = self.open[s].levels[k - 1][2 + what][node[got]]
-                out[at[got]] = self.books[k, what][code]
-        return out
-
-    def seen(self, k: int, grams: np.ndarray) -> np.ndarray:
-        return self._value(k, grams, 0)
-
-    def weight(self, k: int, contexts: np.ndarray) -> np.ndarray:
-        return self._value(k, contexts, 1) if k else np.full(len(contexts), self.books[0, 1][1])
-
-
-def train(docs: DataFrame, text: str = "text", shards: int = SHARDS, unit: Unit = BYTES) -> Model:
-    """The model of all rows of docs, in `shards` shards or more."""
-    spark = docs.sparkSession
-    grams = stash(ngrams.counts(docs.select(F.lit(0).cast("long").alias("model"), F.col(text).alias("text")), unit), "counts")
-    table = stash(ngrams.estimates(grams, unit), "estimates")
-    shards = max(shards, table.count() // EACH)
-    rows = table.groupBy("k").agg(*(f(c).alias(f"{c}_{n}") for c in ("logp", "backoff") for n, f in (("lo", F.min), ("hi", F.max)))).collect()  # a row an order
-    edges, books = {}, {}
-    for what, name in enumerate(("logp", "backoff")):
-        for r in rows:
-            lo, hi = r[f"{name}_lo"], r[f"{name}_hi"]
-            e = np.unique(np.linspace(lo, hi, BINS + 1)) if lo is not None else np.zeros(1)
-            edges[r.k, what] = (e[1:] + e[:-1]) / 2
-            books[r.k, what] = np.concatenate([[np.nan], e])
-    for k in range(unit.n + 1):
-        for what in (0, 1):
-            books.setdefault((k, what), np.array([np.nan, 0.0]))
-            edges.setdefault((k, what), np.zeros(0))
+    """Where a trained model's files are."""
+
+    def __init__(self, path: str, shards: int, unit: Unit):
+        self.path, self.shards, self.unit = path, shards, unit
+        self.root, self.tries = None, {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"root": None, "tries": {}}
+
+    def _root(self) -> dict:
+        if self.root is None:
+            with np.load(io.BytesIO(map_blob(f"{self.path}/root").tobytes())) as z:
+                self.root = dict(z)
+        return self.root
+
+    @property
+    def models(self) -> np.ndarray:
+        """Numbers of the models that have text."""
+        return self._root()["models"]
+
+    def logp(self, keys: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of the last symbols of distinct sorted order-n grams."""
+        n, bits, r = self.unit.n, self.unit.bits, self._root()
+        p = find(r["symbols"], r["p1"], cut(keys, 1, n, bits), 0.0) + find(r["models"], r["w0"], keys >> bits * n, 1.0) / self.unit.size
+        for k in range(2, n + 1):
+            g, back = (keys, slice(None)) if k == n else np.unique(cut(keys, k, n, bits), return_inverse=True)
+            own, weight = self.lookup(k, g)
+            p = own[back] + weight[back] * p
+        return np.log(p)
+
+    def lookup(self, k: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted order-k grams, the discounted probability and the weight that their context gives to the order below."""
+        bits, r = self.unit.bits, self._root()
+        own, weight = np.zeros(len(grams)), np.ones(len(grams))
+        if k == 2:
+            weight = find(r["contexts"], r["w1"], grams >> bits, 1.0)
+        shard = shard_of(grams >> bits * (k - 2), self.shards)
+        order = np.argsort(shard, kind="stable")
+        at = firsts(shard[order])
+        for i, j in zip(at, np.append(at[1:], len(order))):
+            s, rows = int(shard[order[i]]), order[i:j]
+            if not r["present"][s]:
+                continue
+            if s not in self.tries:
+                self.tries[s] = Trie(f"{self.path}/{s}", bits)
+            trie = self.tries[s]
+            node, above = trie.walk(k, grams[rows])
+            own[rows] = trie.value(k, 0, node, 0.0)
+            if k > 2:
+                weight[rows] = trie.value(k - 1, 1, above, 1.0)
+        return own, weight
+
+
+def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, none: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), none)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], none)
+
+
+STATS = "kind int, key long, v1 long, v2 long, v3 long, v4 long"
+SYMBOL, CONTEXT, SHARD = 1, -1, 0  # other kinds are orders
+
+
+def train(docs: DataFrame, text: str = "text", unit: Unit = BYTES, each: int = EACH) -> Model:
+    """The model of all rows of docs, in shards of some `each` bytes of text."""
+    return train_models(docs.select(F.lit(0).cast("long").alias("model"), F.col(text).alias("text")), unit, each)
+
+
+def train_models(rows: DataFrame, unit: Unit = BYTES, each: int = EACH, keep=None, pooled: bool = False, total: int | None = None) -> Model:
+    """Models of rows (model, text, ...), by number, in one set of shards.
+
+    keep(batch) may filter, `total` then is the bytes of text that it leaves; pooled: 0 is a model of all the text too.
+    """
+    spark, n, bits = rows.sparkSession, unit.n, unit.bits
+    rows = rows.where("text is not null and model is not null")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0 if total is None else total
+    shards = max(1, -(-total * (1 + pooled) // each))
     path = new_path(spark, "trie")
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(pdf["shard"].iloc[0])
-        levels = [[], [], []]
-        for k in range(1, unit.n + 1):
-            part = pdf[pdf["k"] == k].sort_values("gram")
-            levels[0].append(part["gram"].to_numpy(np.int64))
-            for what, name in enumerate(("logp", "backoff")):
-                v = part[name].to_numpy(float)
-                code = np.searchsorted(edges[k, what], np.nan_to_num(v)) + 1
-                levels[1 + what].append(np.where(np.isnan(v), 0, code).astype(np.uint8))
-        write_blob(f"{path}/{s}", build(*levels, unit.bits))
-        return pd.DataFrame({"shard": [s], "path": [f"{path}/{s}"]})
-
-    # a shard has all of a first symbol's grams: its contexts too
-    shard = F.pmod(F.expr(f"shiftright(gram, {unit.bits} * (k - 1))").bitwiseAND((1 << unit.bits) - 1), F.lit(shards))
-    made = table.where("k > 0").withColumn("shard", shard).groupBy("shard").applyInPandas(make, "shard long, path string").collect()
-    return Model({r.shard: r.path for r in made}, books, shards, unit)
+    def count(batches):
+        held: list = []
+
+        def flush():
+            key = np.sort(np.concatenate(held))
+            held.clear()
+            at = firsts(key)
+            g, c = key[at], np.diff(np.append(at, len(key)))
+            if pooled:
+                low = g & ((1 << bits * n) - 1)
+                g, c = np.concatenate([low, g[g > low]]), np.concatenate([c, c[g > low]])
+            g = backwards(g, n, bits)
+            order = np.argsort(g)
+            g, c = g[order], c[order]
+            at = firsts(g)
+            g, c = g[at], np.add.reduceat(c, at)
+            return runs(g, c, shard_of(g >> bits * (n - 2), shards), n)
+
+        for batch in batches:
+            batch = batch if keep is None else keep(batch)
+            for part in slices(batch, "text", FLUSH):
+                data, offs = unit.symbols(part.column("text"))
+                if len(data):
+                    number = part.column("model").to_numpy().astype(np.int64)
+                    held.append(codes(data, offs, unit) | np.repeat(number, np.diff(offs)) << bits * n)
+                if sum(map(len, held)) > FLUSH:
+                    yield flush()
+        if held:
+            yield flush()
+
+    def adjust(batches):
+        for _, own in by_shard(batches):
+            back, c = merged(own, n)
+            own.clear()
+            for k in range(n, 1, -1):
+                g = backwards(back, k, bits)
+                order = np.argsort(g)
+                g = g[order]
+                yield runs(g, c[order], shard_of(g >> bits * (k - 2), shards), k)
+                at = firsts(back >> bits)
+                c = np.diff(np.append(at, len(back)))  # what stands before
+                back = back[at] >> bits
+
+    def make(batches):
+        for s, own in by_shard(batches):
+            grams, counts = [np.zeros(0, np.int64)] * (n + 1), [np.zeros(0, np.int64)] * (n + 1)
+            for k in range(n, 1, -1):
+                grams[k], counts[k] = merged(own, k)
+                if k < n:  # contexts that nothing but a text's start has
+                    more = np.setdiff1d(grams[k + 1][firsts(grams[k + 1] >> bits)] >> bits, grams[k], assume_unique=True)
+                    if len(more):
+                        g = np.concatenate([grams[k], more])
+                        order = np.argsort(g, kind="stable")
+                        grams[k], counts[k] = g[order], np.concatenate([counts[k], np.zeros(len(more), np.int64)])[order]
+            own.clear()
+            two, a = grams[2], counts[2]
+            grams[1] = two[firsts(two >> bits)] >> bits
+            write_blob(f"{path}/{s}", build(grams[1:], bits))
+            write_blob(f"{path}/{s}.counts", b"".join(np.array([len(p)], np.int64).tobytes() + p for p in map(pack, counts[2:])))
+            out = [(np.array([SHARD]), np.array([s]), *[np.zeros(1, np.int64)] * 4)]
+            for k in range(2, n + 1):
+                number = grams[k] >> bits * k
+                m, of = np.unique(number, return_inverse=True)
+                out.append((np.full(len(m), k), m, *(np.bincount(of[counts[k] == i], minlength=len(m)) for i in (1, 2, 3, 4))))
+            at = firsts(two >> bits)
+            out.append((np.full(len(at), CONTEXT), two[at] >> bits, np.add.reduceat(a, at), *(np.add.reduceat(x.astype(np.int64), at) for x in (a == 1, a == 2, a > 2))))
+            symbol, seen = np.unique((two >> 2 * bits << bits | two & ((1 << bits) - 1))[a > 0], return_counts=True)
+            zero = np.zeros(len(symbol), np.int64)
+            out.append((np.full(len(symbol), SYMBOL), symbol, seen, zero, zero, zero))
+            cols = [np.concatenate(c).astype(np.int64) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int32)), *map(pa.array, cols[1:])], [x.split()[0] for x in STATS.split(", ")])
+
+    packed = rows.mapInArrow(count, RUNS).repartitionById(shards, "shard").mapInArrow(adjust, RUNS)
+    stats = stash(packed.repartitionById(shards, "shard").mapInArrow(make, STATS), "trie-stats")
+    sums = stats.where(F.col("kind") != SHARD).groupBy("kind", "key").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in (1, 2, 3, 4)))
+    sums = sums.toPandas()  # two rows a symbol and one an order, for each model: bounded by the vocabulary
+    of = lambda kind: sums[sums["kind"] == kind].sort_values("key")
+    present = np.zeros(shards, bool)
+    present[[r.key for r in stats.where(F.col("kind") == SHARD).select("key").collect()]] = True
+    symbol, context = of(SYMBOL), of(CONTEXT)
+    models = np.unique(symbol["key"].to_numpy() >> bits)
+    cuts = np.zeros((n + 1, len(models), 4))  # discounts of counts 0 to 3 and more
+    seen, number = symbol["v1"].to_numpy(), np.searchsorted(models, symbol["key"].to_numpy() >> bits)
+    for i in range(len(models)):
+        cuts[1, i, 1:] = discounts(*((seen[number == i] == c).sum() for c in (1, 2, 3, 4)))
+    for k in range(2, n + 1):
+        o = of(k).set_index("key").reindex(models, fill_value=0)
+        for i, r in enumerate(o[["v1", "v2", "v3", "v4"]].to_numpy()):
+            cuts[k, i, 1:] = discounts(*r)
+    d = cuts[1, number, np.minimum(seen, 3)] if len(seen) else seen
+    every = np.bincount(number, seen, len(models)) if len(seen) else np.zeros(0)
+    held = (context[["v2", "v3", "v4"]].to_numpy() * cuts[2, np.searchsorted(models, context["key"].to_numpy() >> bits), 1:]).sum(1) if len(context) else np.zeros(0)
+    save = io.BytesIO()
+    np.savez(save, present=present, models=models, cuts=cuts, symbols=symbol["key"].to_numpy(), p1=(seen - d) / every[number] if len(seen) else np.zeros(0), w0=np.bincount(number, d, len(models)) / every if len(seen) else np.zeros(0), contexts=context["key"].to_numpy(), total=context["v1"].to_numpy(), w1=held / np.maximum(context["v1"].to_numpy(), 1))
+    write_blob(f"{path}/root", save.getvalue())
+    model = Model(path, shards, unit)
+
+    def smooth(batches):
+        r = model._root()
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                smooth_shard(f"{path}/{s}", r, unit)
+            yield b
+
+    done = spark.range(shards).where(F.col("id").isin(np.flatnonzero(present).tolist()) if not present.all() else F.lit(True))
+    done.repartitionById(shards, F.col("id").cast("int")).mapInArrow(smooth, "id long").write.format("noop").mode("overwrite").save()
+    return model
+
+
+def smooth_shard(path: str, r: dict, unit: Unit) -> None:
+    """Writes the quantised values of a shard from its counts."""
+    n, bits = unit.n, unit.bits
+    trie = Trie(path, bits, values=False)
+    blob, at, counts = map_blob(path + ".counts"), 0, []
+    for k in range(2, n + 1):
+        size = int(np.frombuffer(blob[at : at + 8].tobytes(), np.int64)[0])
+        counts.append(unpack(blob[at + 8 : at + 8 + size].tobytes(), trie.last[k - 1].n))
+        at += 8 + size
+    keys = trie.last[0].all()
+    number = np.searchsorted(r["models"], keys >> bits)
+    books, values = np.zeros((n, 2, 2)), [[np.zeros(level.n, np.uint8), np.zeros(level.n, np.uint8)] for level in trie.last]
+    for k in range(2, n + 1):
+        a = counts[k - 2]
+        pointer = trie.pointers[k - 2].all()
+        size = np.diff(pointer)
+        of = np.repeat(number, size)
+        d = r["cuts"][k, of, np.minimum(a, 3)]
+        if k == 2:
+            total = r["total"][np.searchsorted(r["contexts"], keys)]
+        else:
+            run = np.concatenate([[0], np.cumsum(a)])
+            held = np.concatenate([[0.0], np.cumsum(d)])
+            total = run[pointer[1:]] - run[pointer[:-1]]
+            w = np.where(total > 0, (held[pointer[1:]] - held[pointer[:-1]]) / np.maximum(total, 1), 0)
+            *books[k - 2, 1], values[k - 2][1] = quantised(w)
+        *books[k - 1, 0], values[k - 1][0] = quantised(np.where(a > 0, (a - d) / np.maximum(np.repeat(total, size), 1), 0))
+        number = of
+    write_blob(path + ".values", books.tobytes() + b"".join(v.tobytes() for pair in values for v in pair))
+
+
+class Scorer:
+    """Sums over texts of the log probabilities of their symbols; distinct grams are looked up once a call."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __call__(self, data: np.ndarray, offs: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, the sum and the sum of squares."""
+        unit = self.model.unit
+        key = codes(data, offs, unit) | np.repeat(number.astype(np.int64), np.diff(offs)) << unit.bits * unit.n
+        order = np.argsort(key)
+        at = firsts(key[order])
+        p = np.empty(len(key))
+        p[order] = np.repeat(self.model.logp(key[order[at]]), np.diff(np.append(at, len(key))))
+        out = []
+        for x in (p, p * p):
+            total = np.concatenate([[0], np.cumsum(x)])
+            out.append(total[offs[1:]] - total[offs[:-1]])
+        return out[0], out[1]
 
 
 def scores(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, log_prob, perplexity) of every row: natural logs, perplexity a byte."""
 
     def score(batches):
-        run = ngrams.Scorer(model.seen, model.weight, model.unit)
+        run = Scorer(model)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", SLICE):
                 size = np.diff(texts(part.column("text"))[1])
                 data, offs = model.unit.symbols(part.column("text"))
                 total, _ = run(data, offs, np.zeros(part.num_rows, np.int64))

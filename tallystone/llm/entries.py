@@ -21,6 +21,11 @@ def model_proto(folder: str = TOKENIZERS, name: str = "piece_bpe_32k.model") ->
     return Path(folder, name).read_bytes()
 
 
+def trigrams() -> ngrams.Unit:
+    """The quality classifier's grams: of 3 pieces, which leaves room for the languages' numbers."""
+    return ngrams.Pieces(n=3, proto=model_proto())
+
+
 def op1_telephony_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds audio, so each document's bytes are taken as a recording of 8,000 samples a second, in the three codecs by turns."""
     codec = F.element_at(F.array(*map(F.lit, ("mulaw", "alaw", "adpcm"))), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
@@ -38,7 +43,7 @@ def op3_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), unit=trigrams())
 
 
 def op5_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
-"""N-gram counts of bytes or pieces and interpolated modified Kneser-Ney estimates, as sharded joins.
+"""Grams of bytes or pieces as longs, and the discounts of modified Kneser-Ney.
 
-A gram of order n is a long whose lowest n * bits bits are its symbols, the last one lowest; above them stands a model's number, so
+A gram of order k is a long whose lowest k * bits bits are its symbols, the last one lowest; above them stands a model's number, so
 that several models (one for each language) share the tables. Every text is preceded by n - 1 pads (line feeds, of bytes).
 
 Pieces are those of a SentencePiece vocabulary of up to 2**15: words are cut at blanks and line feeds, a line feed is its byte's
@@ -14,11 +14,8 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
 
-from .kernel import slices, texts
-from .shared import in_lists, map_blob, new_path, stash, write_blob
+from .kernel import texts
 
 N = 5
 PIECES, CACHE = 4, 300_000
@@ -36,6 +33,11 @@ class Unit:
     def symbols(self, column) -> tuple[np.ndarray, np.ndarray]:
         return texts(column)[:2]
 
+    @property
+    def models(self) -> int:
+        """How many models' numbers fit above a gram."""
+        return 1 << 63 - self.bits * self.n
+
 
 BYTES = Unit()
 
@@ -67,8 +69,12 @@ class Pieces(Unit):
             n = 0
             if t:
                 w = t.replace("\n", " \n ").split(" ") if "\n" in t else t.split(" ")
-                for x in set(w).difference(known):
-                    known[x] = [byte[10]] if x == "\n" else sp.encode(x) or [byte[b] for b in (x.encode() or b" ")]
+                new = list(set(w).difference(known))
+                if new:
+                    for x, ids in zip(new, sp.encode(new)):
+                        known[x] = ids or [byte[b] for b in (x.encode() or b" ")]
+                    if "\n" in new:
+                        known["\n"] = [byte[10]]
                 ids = np.fromiter(chain.from_iterable(map(known.__getitem__, w)), np.int64)
                 parts.append(ids)
                 n = len(ids)
@@ -100,193 +106,13 @@ def codes(data: np.ndarray, offs: np.ndarray, unit: Unit = BYTES) -> np.ndarray:
     return out
 
 
-def counts(docs: DataFrame, unit: Unit = BYTES, wanted: list | None = None) -> DataFrame:
-    """(gram, count) over all of docs (model, text), added up within each task before the shuffle; wanted: only of ids in these lists."""
-    text, model = "text", "model"
-
-    def count(batches):
-        grams, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held, weight, rows = [], [], 0
-        for batch in batches:
-            if wanted is not None:
-                ids = batch.column("id").to_numpy()
-                order = np.argsort(ids, kind="stable")
-                use = np.zeros(len(ids), bool)
-                use[order] = in_lists(wanted, ids[order])
-                batch = batch.filter(pa.array(use))
-            for part in slices(batch, text, 4 << 20):
-                data, offs = unit.symbols(part.column(text))
-                number = part.column(model).to_numpy().astype(np.int64)
-                key = codes(data, offs, unit) | np.repeat(number, np.diff(offs)) << unit.bits * unit.n
-                key.sort()
-                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-                held.append(key[start])
-                weight.append(np.diff(np.concatenate([start, [len(key)]])))
-                rows += len(start)
-                if rows > max(1 << 20, len(grams)):
-                    grams, total = _add([grams, *held], [total, *weight])
-                    held, weight, rows = [], [], 0
-        grams, total = _add([grams, *held], [total, *weight])
-        for i in range(0, len(grams), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(grams[i : i + (1 << 18)]), pa.array(total[i : i + (1 << 18)])], ["gram", "count"])
-
-    rows = docs.where("text is not null and model is not null" + " and id is not null" * (wanted is not None))
-    return rows.mapInArrow(count, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count"))
-
-
-def _add(grams: list, total: list) -> tuple[np.ndarray, np.ndarray]:
-    g, t = np.concatenate(grams), np.concatenate(total)
-    order = np.argsort(g, kind="stable")
-    g, t = g[order], t[order]
-    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-    return g[start], np.add.reduceat(t, start) if len(start) else t
-
-
-def suffix(gram, k: int, n: int, bits: int = 8):
-    """Order-k gram (with the model above) of the last k symbols of an order-n gram column."""
-    return F.shiftleft(F.shiftright(gram, bits * n), bits * k).bitwiseOR(gram.bitwiseAND((1 << bits * k) - 1))
+def cut(grams: np.ndarray, k: int, n: int, bits: int = 8) -> np.ndarray:
+    """Order-k gram of the last symbols, with the model."""
+    return grams >> bits * n << bits * k | grams & ((1 << bits * k) - 1)
 
 
-def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Of counts 1, 2 and 3 or more, kept within (0, count) where too little was seen for the formula."""
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     raw = [i + 1 - (i + 2) * y * b / a if a else (i + 1) / 2 for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)))]
     return tuple(min(max(d, 0.1 * (i + 1)), 0.95 * (i + 1)) for i, d in enumerate(raw))
-
-
-def estimates(grams: DataFrame, unit: Unit = BYTES) -> DataFrame:
-    """(k, gram, logp, backoff): interpolated modified Kneser-Ney (Chen and Goodman, 1998).
-
-    `logp` is that of the last symbol after the others, for grams that were seen; `backoff` the log of the weight that a
-    context gives to the order below, on the rows of contexts (their logp is null if only the context was seen).
-    The highest order has raw counts, the others count distinct preceding symbols. Order 0 is uniform over the unit's symbols.
-    """
-    n, bits = unit.n, unit.bits
-    levels = {n: grams.select("gram", F.col("count").alias("a"))}
-    for k in range(n - 1, 0, -1):
-        levels[k] = levels[k + 1].select(suffix(F.col("gram"), k, k + 1, bits).alias("gram")).groupBy("gram").agg(F.count("*").alias("a"))
-    every = None
-    for k, level in levels.items():
-        level = level.select(F.lit(k).alias("k"), "gram", "a")
-        every = level if every is None else every.union(level)
-    every = stash(every, "grams")
-    model = F.expr(f"shiftright(gram, {bits} * k)")
-    tiny = every.where("a <= 4").groupBy("k", model.alias("m")).pivot("a", [1, 2, 3, 4]).count().na.fill(0)  # a row for each order and model
-    tiny = {(r.k, r.m): _discounts(*(r[str(i)] for i in (1, 2, 3, 4))) for r in tiny.collect()}
-    discounts = grams.sparkSession.createDataFrame([(k, m, *d) for (k, m), d in tiny.items()] or [(0, 0, 0.1, 0.2, 0.3)], "k int, m long, d1 double, d2 double, d3 double")
-    every = every.withColumn("m", model).join(F.broadcast(discounts), ["k", "m"], "left").na.fill({"d1": 0.5, "d2": 1.0, "d3": 1.5})
-    every = every.withColumn("d", F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3")))
-    out, below = None, None
-    for k in range(1, n + 1):
-        seen = every.where(F.col("k") == k).select("gram", "a", "d", F.expr(f"shiftright(gram, {bits * k})").alias("m"))
-        # the context of order k - 1, with the model above it
-        seen = seen.withColumn("context", F.shiftleft("m", bits * (k - 1)).bitwiseOR(F.shiftright("gram", bits).bitwiseAND((1 << bits * (k - 1)) - 1)))
-        total = seen.groupBy("context").agg(F.sum("a").alias("total"), F.sum("d").alias("held"))
-        rows = seen.join(total, "context")
-        own = (F.col("a") - F.col("d")) / F.col("total")
-        if below is None:
-            p = rows.select("gram", (own + F.col("held") / F.col("total") / unit.size).alias("p"))
-        else:
-            rows = rows.withColumn("low", suffix(F.col("gram"), k - 1, k, bits))
-            p = rows.join(below.select(F.col("gram").alias("low"), F.col("p").alias("q")), "low").select("gram", (own + F.col("held") / F.col("total") * F.col("q")).alias("p"))
-        below = stash(p, f"order-{k}")
-        weight = total.select(F.lit(k - 1).alias("k"), F.col("context").alias("gram"), F.lit(None).cast("double").alias("logp"), F.log(F.col("held") / F.col("total")).alias("backoff"))
-        mine = below.select(F.lit(k).alias("k"), "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff")).union(weight)
-        out = mine if out is None else out.union(mine)
-    return out.groupBy("k", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
-
-
-def save(tables: DataFrame) -> list[tuple[int, int, int, str]]:
-    """Estimates as sorted blobs in the shared folder, sharded by range: (k, smallest, largest gram, path)."""
-    path = new_path(tables.sparkSession, "ngrams")
-
-    def write(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        k, gram = t.column("k").to_numpy(), t.column("gram").to_numpy()
-        values = [t.column(c).to_numpy().astype(np.float32) for c in ("logp", "backoff")]
-        out = []
-        for level in np.unique(k).tolist():
-            at = np.flatnonzero(k == level)
-            at = at[np.argsort(gram[at])]
-            to = f"{path}/{level}-{gram[at[0]]}"
-            write_blob(to, b"".join([gram[at].tobytes(), *(v[at].tobytes() for v in values)]))
-            out.append((level, int(gram[at[0]]), int(gram[at[-1]]), to))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["k", "lo", "hi", "path"])
-
-    rows = tables.select("k", "gram", "logp", "backoff").repartitionByRange("k", "gram").mapInArrow(write, "k long, lo long, hi long, path string")
-    return sorted(tuple(r) for r in rows.collect())
-
-
-def find(shards: list, k: int, grams: np.ndarray, what: int) -> np.ndarray:
-    """logp (what 0) or backoff (1) of grams of order k, nan where there is none: a join with each shard in turn."""
-    out = np.full(len(grams), np.nan, np.float32)
-    for level, lo, hi, path in shards:
-        if level != k:
-            continue
-        at = np.flatnonzero((grams >= lo) & (grams <= hi))
-        if len(at):
-            blob = map_blob(path)
-            n = len(blob) // 16
-            keys = blob[: 8 * n].view(np.int64)
-            values = blob[(8 + 4 * what) * n : (12 + 4 * what) * n].view(np.float32)
-            i = np.minimum(np.searchsorted(keys, grams[at]), n - 1)
-            out[at] = np.where(keys[i] == grams[at], values[i], np.nan)
-    return out
-
-
-def cut(grams: np.ndarray, k: int, n: int, bits: int = 8) -> np.ndarray:
-    """Order-k gram of the last symbols, with the model."""
-    return grams >> bits * n << bits * k | grams & ((1 << bits * k) - 1)
-
-
-def resolve(grams: np.ndarray, seen, weight, unit: Unit = BYTES) -> np.ndarray:
-    """Log probabilities of the last symbols of grams: seen(k, grams) where an order has them, else with weight(k, contexts) from the order below."""
-    n, bits = unit.n, unit.bits
-    out = np.zeros(len(grams))
-    open_ = np.arange(len(grams))
-    for k in range(n, 0, -1):
-        g = cut(grams[open_], k, n, bits)
-        p = seen(k, g)
-        got = ~np.isnan(p)
-        out[open_[got]] += p[got]
-        open_, g = open_[~got], g[~got]
-        if not len(open_):
-            return out
-        context = g >> bits * k << bits * (k - 1) | (g >> bits) & ((1 << bits * (k - 1)) - 1)
-        out[open_] += np.nan_to_num(weight(k - 1, context))
-    out[open_] -= np.log(unit.size)
-    return out
-
-
-class Scorer:
-    """Sums of log probabilities over texts; grams already resolved in this task are kept, up to `most` of them at a time."""
-
-    def __init__(self, seen, weight, unit: Unit = BYTES, most: int = 2_000_000):
-        self.seen, self.weight, self.unit, self.most = seen, weight, unit, most
-        self.grams, self.logp = np.zeros(0, np.int64), np.zeros(0)
-
-    def __call__(self, data: np.ndarray, offs: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text, the sum and the sum of squares."""
-        key = codes(data, offs, self.unit) | np.repeat(model.astype(np.int64), np.diff(offs)) << self.unit.bits * self.unit.n
-        uniq, inverse = np.unique(key, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.grams, uniq), max(len(self.grams) - 1, 0))
-        known = self.grams[at] == uniq if len(self.grams) else np.zeros(len(uniq), bool)
-        value = np.empty(len(uniq))
-        value[known] = self.logp[at[known]]
-        new = uniq[~known]
-        value[~known] = resolve(new, self.seen, self.weight, self.unit)
-        if len(self.grams) + len(new) > self.most:
-            self.grams, self.logp = uniq, value
-        else:
-            both = np.concatenate([self.grams, new])
-            order = np.argsort(both, kind="stable")
-            self.grams, self.logp = both[order], np.concatenate([self.logp, value[~known]])[order]
-        p = value[inverse]
-        out = []
-        for x in (p, p * p):
-            total = np.concatenate([[0], np.cumsum(x)])
-            out.append(total[offs[1:]] - total[offs[:-1]])
-        return out[0], out[1]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -12,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (tests), a local one is made."""
+    """The cluster's spark.checkpoint.dir; only where it is unset and the master is local (tests), a local one is made."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tallystone-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
@@ -33,6 +37,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str):
+    """Column names that df doesn't have, in any case of letters: one, or a tuple of them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out[0] if len(out) == 1 else tuple(out)
+
+
 def _local(path: str) -> str | None:
     if path.startswith("file:"):
         return "/" + path[5:].lstrip("/")
@@ -58,6 +73,12 @@ def map_blob(path: str) -> np.ndarray:
     """Bytes of a blob: memory-mapped where the shared folder is mounted, else read."""
     if (here := _local(path)) is not None:
         return np.memmap(here, np.uint8, "r") if os.path.getsize(here) else np.empty(0, np.uint8)
+    return _fetched(path)
+
+
+@lru_cache(16)
+def _fetched(path: str) -> np.ndarray:
+    """A blob of a folder that isn't mounted; a task that asks for it again has it still."""
     fs, name = pafs.FileSystem.from_uri(path)
     with fs.open_input_stream(name) as f:
         return np.frombuffer(f.read(), np.uint8)

@@ -211,7 +211,7 @@ def brute_kn(corpus, n):
     a = {n: c}
     for k in range(n - 1, 0, -1):
         a[k] = collections.Counter(g[1:] for g in a[k + 1])
-    d = {k: ngrams._discounts(*(sum(v == i for v in a[k].values()) for i in (1, 2, 3, 4))) for k in a}
+    d = {k: ngrams.discounts(*(sum(v == i for v in a[k].values()) for i in (1, 2, 3, 4))) for k in a}
 
     def p(g):
         if not g:
@@ -231,17 +231,37 @@ CORPUS = ["the cat sat on the mat", "the dog sat", "a cat and a dog é", "mat on
 def test_kneser_ney_and_trie(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(CORPUS)], "doc_id long, text string")
     p = brute_kn(CORPUS, ngrams.N)
-    est = ngrams.save(ngrams.estimates(ngrams.counts(df.selectExpr("0L AS model", "text"))))
-    exact = lambda g: ngrams.resolve(g, lambda k, x: ngrams.find(est, k, x, 0), lambda k, x: ngrams.find(est, k, x, 1))
-    ask = [b"the c", b"\n\n\n\nt", b"zzzzz", b" cat ", b"q\xc3\xa9ab", b"e mat"]
-    g = np.array([int.from_bytes(x, "big") for x in ask])
-    assert np.allclose(np.exp(exact(g)), [p(x) for x in ask], rtol=1e-5)
-    m = eftrie.train(df)
-    assert np.abs(ngrams.resolve(g, m.seen, m.weight) - exact(g)).max() < 0.15  # quantised
+    ask = [b"the c", b"\n\n\n\nt", b"zzzzz", b" cat ", b"q\xc3\xa9ab", b"e mat", b"d dog", b"the z"]
+    g = np.sort([int.from_bytes(x, "big") for x in ask])
+    want = np.log([p(int(x).to_bytes(5, "big")) for x in g])
+    for each in (1 << 20, 20):  # one shard and several
+        m = eftrie.train(df, each=each)
+        assert (m.shards > 1) == (each == 20) and np.abs(m.logp(g) - want).max() < 0.03  # quantised
+    every = np.arange(256) + (int.from_bytes(b" cat", "big") << 8)
+    assert abs(np.exp(m.logp(every)).sum() - 1) < 0.02
     got = {r.doc_id: r for r in eftrie.scores(df.union(spark.createDataFrame([(9, None)], df.schema)), m).collect()}
     b = b"\n" * 4 + CORPUS[1].encode()
     want = sum(math.log(p(b[j - 4 : j + 1])) for j in range(4, len(b)))
-    assert abs(got[1].log_prob - want) < 0.03 * len(CORPUS[1]) and got[5].perplexity is None and got[9].n_bytes == 0
+    assert abs(got[1].log_prob - want) < 0.01 * len(CORPUS[1]) and got[5].perplexity is None and got[9].n_bytes == 0
+
+
+def test_models_share_shards(spark):
+    """Models by number, and that of all text, each equal to one trained alone."""
+    rows = [(1, t) for t in CORPUS[:3]] + [(7, t) for t in CORPUS[3:]] + [(None, "zz"), (1, None)]
+    m = eftrie.train_models(spark.createDataFrame(rows, "model long, text string"), each=30, pooled=True)
+    assert m.models.tolist() == [0, 1, 7]
+    for number, corpus in ((0, CORPUS), (1, CORPUS[:3]), (7, CORPUS[3:])):
+        p = brute_kn(corpus, ngrams.N)
+        g = np.sort([int.from_bytes(x, "big") for x in (b"the c", b"a dog", b"zebra", b"n cat", b"xyzab")])
+        assert np.abs(m.logp(g | number << 40) - np.log([p(int(x).to_bytes(5, "big")) for x in g])).max() < 0.03
+    assert np.allclose(m.logp(np.array([3 << 40 | 5])), -math.log(256))  # a model that isn't there
+
+
+def test_packed_runs():
+    v = np.array([0, 5, 5, 2**62, 2**62 + 3, 2**63 - 1])
+    assert (np.cumsum(eftrie.unpack(eftrie.pack(np.diff(v, prepend=0)), 6)) == v).all() and len(eftrie.unpack(eftrie.pack(v[:0]), 0)) == 0
+    g = np.array([0x010203, 0x7F7E7D | 9 << 24])
+    assert eftrie.backwards(g, 3, 8).tolist() == [0x030201, 0x7D7E7F | 9 << 24]
 
 
 def test_pieces_tell_word_order(spark, proto):
@@ -262,19 +282,13 @@ def test_pieces_tell_word_order(spark, proto):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     m = eftrie.train(df, unit=unit)
     brute = collections.Counter(tuple(x[i : i + 4]) for _, t in docs for x in [[1, 1, 1, *(sp.encode(t) if t else [])]] for i in range(len(x) - 3))
-    got = {r["gram"]: r["count"] for r in ngrams.counts(df.selectExpr("0L AS model", "text"), unit).collect()}
-    assert got == {sum(x << 15 * (3 - j) for j, x in enumerate(g)): c for g, c in brute.items()}
     seen = [(900, "the cat and the dog sat on a mat"), (1, "mat a on sat dog the and cat the"), (2, ""), (3, None)]
     out = {r.doc_id: r for r in eftrie.scores(spark.createDataFrame(seen, df.schema), m).collect()}
     assert out[900].n_bytes == out[1].n_bytes == 32 and out[900].log_prob > out[1].log_prob + 1 and out[2].perplexity is None and out[3].n_bytes == 0
-    table = ngrams.save(ngrams.estimates(ngrams.counts(df.selectExpr("0L AS model", "text"), unit), unit))
-    g = np.array(sorted(got))
-    exact = ngrams.resolve(g, lambda k, x: ngrams.find(table, k, x, 0), lambda k, x: ngrams.find(table, k, x, 1), unit)
-    assert np.abs(ngrams.resolve(g, m.seen, m.weight, unit) - exact).max() < 0.15 and (exact < 0).all()
-    first = g[g >> 15 == g[0] >> 15]  # what follows a context has a probability of 1 in all
-    context = (int(first[0]) >> 15) << 15
-    every = ngrams.resolve(context + np.arange(unit.size), lambda k, x: ngrams.find(table, k, x, 0), lambda k, x: ngrams.find(table, k, x, 1), unit)
-    assert abs(np.exp(every).sum() - 1) < 1e-3
+    g = np.array(sorted(sum(x << 15 * (3 - j) for j, x in enumerate(g)) for g in brute))
+    assert (m.logp(g) < 0).all()
+    context = (int(g[0]) >> 15) << 15  # what follows a context has a probability of 1 in all
+    assert abs(np.exp(m.logp(context + np.arange(unit.size))).sum() - 1) < 0.02
 
 
 @pytest.mark.parametrize("n,u", [(1, 5), (50, 10), (1000, 10**6), (300, 300), (5, 10**12), (64, 0)])
