@@ -14,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallystone.llm import decontam, lattice, linededup, quality, simhash
-from tallystone.llm.entries import model_proto, table
+from tallystone.llm.entries import model_proto, table, trigrams
 from tallystone.llm.shared import stash
 
 SAMPLES = 2
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), unit=trigrams())
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
