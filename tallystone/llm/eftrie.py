@@ -18,7 +18,7 @@ All files lie in the shared folder and are memory-mapped by the executors.
 
 A gram's probability is the interpolation over its orders; in each, it is looked up from the first symbol: in the children's range of
 the node so far, a successor search finds the first value that isn't below base + symbol. A task looks up the distinct grams of some
-megabytes of text at once, in their order, and each prefix once.
+megabytes of text at once, in their order, each from the place of its context.
 
 A shard's size is set by the corpus: `each` bytes of text a shard. The grams of one pair of symbols are in one shard; they are
 distinct, so repeated rows don't make a shard larger.
@@ -41,7 +41,7 @@ from .kernel import U, mix, slices, texts
 from .ngrams import BYTES, Unit, codes, cut, discounts
 from .shared import map_blob, new_path, stash, write_blob
 
-CODES, EACH, FLUSH, SLICE = 254, 8 << 20, 4 << 20, 8 << 20
+CODES, EACH, FLUSH, SLICE, BLOCK, WIDE = 254, 8 << 20, 4 << 20, 8 << 20, 1 << 15, 6
 
 
 # ---- packed runs
@@ -121,6 +121,10 @@ def _bits(v: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: The place in a byte of its one numbered r, by byte * 8 + r.
+_IN_BYTE = np.array([([j for j in range(8) if b >> j & 1] + [0] * 8)[r] for b in range(256) for r in range(8)], U)
+
+
 class EliasFano:
     """A monotone sequence: the low bits packed, the high bits in unary, with a count of ones before each word."""
 
@@ -129,7 +133,7 @@ class EliasFano:
         n = len(v)
         low = max(0, (int(v[-1]) // n).bit_length() - 1) if n else 0
         ones = (v.astype(U) >> U(low)).astype(np.int64) + np.arange(n)
-        size = (int(ones[-1]) >> 6) + 1 if n else 1
+        size = (int(ones[-1]) + 1 >> 6) + 1 if n else 1  # a zero ends it
         marks = np.zeros(size * 64, bool)
         marks[ones] = True
         high = np.packbits(marks, bitorder="little").view("<u8")
@@ -139,42 +143,81 @@ class EliasFano:
 
     def __init__(self, n: int, low: int, packed: np.ndarray, high: np.ndarray, before: np.ndarray):
         self.n, self.low, self.packed, self.high, self.before = n, low, packed, high, before
-
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.before, i.astype(np.uint32), "right") - 1  # of one type, else numpy copies `before`
-        r = i - self.before[word]
-        w = self.high[word]
-        place = np.zeros(len(i), np.int64)
-        for s in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(w & U((1 << s) - 1))
-            go = r >= c
-            r = r - np.where(go, c, 0)
-            w = np.where(go, w >> U(s), w)
-            place += np.where(go, s, 0)
-        top = word * 64 + place - i
+        self.gaps = self.most = None
+
+    def _select(self, i: np.ndarray, zeros: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the ones (or zeros) numbered i: their words' numbers, the words, and the places in them (by sums over the word's bytes)."""
+        before = self._zeros() if zeros else self.before
+        word = np.searchsorted(before, i.astype(np.uint32), "right") - 1  # of one type, else numpy copies `before`
+        r = (i - before[word]).astype(U)
+        w = ~self.high[word] if zeros else self.high[word]
+        s = w - (w >> U(1) & U(0x5555555555555555))
+        s = (s & U(0x3333333333333333)) + (s >> U(2) & U(0x3333333333333333))
+        s = (s + (s >> U(4)) & U(0x0F0F0F0F0F0F0F0F)) * U(0x0101010101010101)  # ones up to each byte
+        byte = np.bitwise_count((r * U(0x0101010101010101) | U(0x8080808080808080)) - s & U(0x8080808080808080)).astype(U) << U(3)
+        r -= s << U(8) >> byte & U(255)
+        return word, w, byte + _IN_BYTE[(w >> byte & U(255)) << U(3) | r]
+
+    def _low(self, i: np.ndarray, top: np.ndarray) -> np.ndarray:
         if not self.low:
             return top
         at = i * self.low
         word, bit = at >> 6, (at & 63).astype(U)
         x = self.packed[word] >> bit
-        over = bit + U(self.low) > 64
-        x = np.where(over, x | self.packed[word + 1] << ((U(64) - bit) & U(63)), x)
+        over = np.flatnonzero(bit + U(self.low) > 64)
+        x[over] |= self.packed[word[over] + 1] << (U(64) - bit[over])
         return top << self.low | (x & U((1 << self.low) - 1)).astype(np.int64)
 
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        word, _, place = self._select(i)
+        return self._low(i, (word << 6) + place.astype(np.int64) - i)
+
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values i and i + 1: mostly the next one stands in the same word."""
+        word, w, place = self._select(i)
+        rest = w >> place >> U(1)
+        near = np.bitwise_count((rest & (U(0) - rest)) - U(1))  # zeros before the next one, 64 if there is none
+        top = (word << 6) + place.astype(np.int64) - i
+        after = self._low(i + 1, top + near)
+        far = np.flatnonzero(rest == 0)
+        after[far] = self[i[far] + 1]
+        return self._low(i, top), after
+
+    def _zeros(self) -> np.ndarray:
+        if self.gaps is None:
+            self.gaps = (np.arange(len(self.before)) * 64 - self.before).astype(np.uint32)
+        return self.gaps
+
+    def bucket(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places from and before which values with the high bits of v stand; v is at most the last value."""
+        h = v >> self.low
+        out = []
+        for x in (h - 1, h):  # ones before the zero that ends the bucket before, and this one
+            word, _, place = self._select(np.maximum(x, 0), True)
+            out.append(np.where(x < 0, 0, (word << 6) + place.astype(np.int64) - x))
+        return out[0], np.minimum(out[1], self.n)
+
+    @property
+    def top(self) -> int:
+        if self.most is None:
+            self.most = int(self[np.array([self.n - 1])][0]) if self.n else 0
+        return self.most
+
     def all(self) -> np.ndarray:
         return self[np.arange(self.n)]
 
-    def successor(self, lo: np.ndarray, hi: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Of each range lo:hi, the first place whose value is v or more; hi if there is none."""
-        lo, end = lo.copy(), hi.copy()
+    def successor(self, lo: np.ndarray, hi: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each range lo:hi, the first place whose value is v or more, and that value; hi and -1 if there is none."""
+        lo, end, value = lo.copy(), hi.copy(), np.full(len(lo), -1)
         at = np.flatnonzero(lo < end)
         while len(at):
             mid = (lo[at] + end[at]) // 2
-            less = self[mid] < v[at]
+            x = self[mid]
+            less = x < v[at]
             lo[at[less]] = mid[less] + 1
-            end[at[~less]] = mid[~less]
+            end[at[~less]], value[at[~less]] = mid[~less], x[~less]
             at = at[lo[at] < end[at]]
-        return lo
+        return lo, value
 
 
 def build(grams: list[np.ndarray], bits: int) -> bytes:
@@ -221,43 +264,54 @@ class Trie:
         if values:
             blob = map_blob(path + ".values")
             k = len(self.last)
-            self.books = blob[: k * 32].view(np.float64).reshape(k, 2, 2)  # by level: least and step of the logs of probabilities and weights
+            books = blob[: k * 32].view(np.float64).reshape(k, 2, 2)  # by level: least and step of the logs of probabilities and weights
+            self.book = [[np.append(0.0, np.exp(lo + step * np.arange(CODES))) for lo, step in level] for level in books]
             self.codes, at = [], k * 32
             for level in self.last:
                 self.codes.append((blob[at : at + level.n], blob[at + level.n : at + 2 * level.n]))
                 at += 2 * level.n
 
-    def walk(self, k: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of sorted order-k grams (k of 2 or more) and of their contexts, in their levels; -1 for none. Each prefix is searched once."""
-        mask = (1 << self.bits) - 1
-        g = grams >> self.bits * (k - 1)
-        start = firsts(g)
-        node = self.last[0].successor(np.zeros(len(start), np.int64), np.full(len(start), self.last[0].n), g[start])
-        there = node < self.last[0].n
-        there[there] = self.last[0][node[there]] == g[start[there]]
-        node[~there] = -1
-        for level in range(2, k + 1):
-            g = grams >> self.bits * (k - level)
-            up, start = start, firsts(g)
-            above = node[np.searchsorted(up, start, "right") - 1]
-            node = np.full(len(start), -1)
-            at = np.flatnonzero(above >= 0)
-            lo, hi = self.pointers[level - 2][above[at]], self.pointers[level - 2][above[at] + 1]
-            values = self.last[level - 1]
-            want = np.where(lo > 0, values[np.maximum(lo - 1, 0)], 0) + (g[start[at]] & mask)
-            place = values.successor(lo, hi, want)
-            there = place < hi
-            there[there] = values[place[there]] == want[there]
-            node[at[there]] = place[there]
-        each = np.diff(np.append(start, len(grams)))
-        return np.repeat(node, each), np.repeat(above, each)
+    def roots(self, first: np.ndarray) -> np.ndarray:
+        """Places of sorted order-1 grams, -1 for none; each is searched once."""
+        start = firsts(first)
+        keys = self.last[0]
+        lo, hi = keys.bucket(np.minimum(first[start], keys.top))
+        node, value = keys.successor(lo, hi, first[start])
+        node[value != first[start]] = -1
+        return np.repeat(node, np.diff(np.append(start, len(first))))
+
+    def children(self, level: int, above: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Places in a level (2 or more) of the symbols in the children's ranges of nodes above, -1 for none."""
+        out = np.full(len(above), -1)
+        at = np.flatnonzero(above >= 0)
+        lo, hi = self.pointers[level - 2].pair(above[at])
+        some = lo < hi
+        if not some.all():
+            at, lo, hi = at[some], lo[some], hi[some]
+        values = self.last[level - 1]
+        base, value = values.pair(np.maximum(lo - 1, 0)) if values.n > 1 else (values[lo], values[lo])
+        zero = np.flatnonzero(lo == 0)
+        value[zero], base[zero] = base[zero], 0
+        want = base + symbol[at]
+        there = value == want  # the first child
+        out[at[there]] = lo[there]
+        more = np.flatnonzero((value < want) & (hi - lo > 1))
+        if len(more):
+            lo, hi = lo[more] + 1, hi[more]
+            wide = np.flatnonzero(hi - lo > WIDE)
+            if len(wide):
+                a, b = values.bucket(np.minimum(want[more[wide]], values.top))
+                lo[wide], hi[wide] = np.maximum(lo[wide], a), np.minimum(hi[wide], b)
+            place, value = values.successor(lo, hi, want[more])
+            there = value == want[more]
+            out[at[more[there]]] = place[there]
+        return out
 
     def value(self, level: int, what: int, nodes: np.ndarray, none: float) -> np.ndarray:
         """Probabilities (0) or weights (1) of nodes of a level; `none` where there is none."""
         code = np.where(nodes >= 0, self.codes[level - 1][what][np.maximum(nodes, 0)], 0)
-        lo, step = self.books[level - 1, what]
-        book = np.append(none, np.exp(lo + step * np.arange(CODES)))
-        return book[code]
+        book = self.book[level - 1][what]
+        return np.where(code > 0, book[code], none)
 
 
 def quantised(v: np.ndarray) -> tuple[float, float, np.ndarray]:
@@ -297,36 +351,44 @@ class Model:
         return self._root()["models"]
 
     def logp(self, keys: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of the last symbols of distinct sorted order-n grams."""
+        """Natural log probabilities of the last symbols of distinct sorted order-n grams.
+
+        A gram's context is a gram of the level before, so each level searches its distinct grams once, from the places found above.
+        """
         n, bits, r = self.unit.n, self.unit.bits, self._root()
-        p = find(r["symbols"], r["p1"], cut(keys, 1, n, bits), 0.0) + find(r["models"], r["w0"], keys >> bits * n, 1.0) / self.unit.size
+        levels = {n: keys}
+        for k in range(n - 1, 0, -1):
+            g = levels[k + 1]
+            both = np.sort(np.concatenate([g[firsts(g >> bits)] >> bits, cut(g, k, k + 1, bits)]))
+            levels[k] = both[firsts(both)]
+        g = levels[1]
+        p = find(r["symbols"], r["p1"], g, 0.0) + find(r["models"], r["w0"], g >> bits, 1.0) / self.unit.size
+        node = np.zeros(0, np.int64)
         for k in range(2, n + 1):
-            g, back = (keys, slice(None)) if k == n else np.unique(cut(keys, k, n, bits), return_inverse=True)
-            own, weight = self.lookup(k, g)
-            p = own[back] + weight[back] * p
+            g, context = levels[k], levels[k] >> bits
+            start = firsts(context)
+            above = np.repeat(np.searchsorted(levels[k - 1], context[start]), np.diff(np.append(start, len(g))))
+            own, weight = np.zeros(len(g)), find(r["contexts"], r["w1"], context, 1.0) if k == 2 else np.ones(len(g))
+            below, node = node, np.full(len(g), -1)
+            shard = shard_of(g >> bits * (k - 2), self.shards)
+            order = np.argsort(shard, kind="stable")
+            at = firsts(shard[order])
+            for i, j in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
+                if (trie := self._trie(int(shard[order[i]]))) is not None:
+                    for i in range(i, j, BLOCK):
+                        rows = order[i : min(i + BLOCK, j)]
+                        up = trie.roots(context[rows]) if k == 2 else below[above[rows]]
+                        node[rows] = here = trie.children(k, up, g[rows] & ((1 << bits) - 1))
+                        own[rows] = trie.value(k, 0, here, 0.0)
+                        if k > 2:
+                            weight[rows] = trie.value(k - 1, 1, up, 1.0)
+            p = own + weight * p[np.searchsorted(levels[k - 1], cut(g, k - 1, k, bits))]
         return np.log(p)
 
-    def lookup(self, k: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of sorted order-k grams, the discounted probability and the weight that their context gives to the order below."""
-        bits, r = self.unit.bits, self._root()
-        own, weight = np.zeros(len(grams)), np.ones(len(grams))
-        if k == 2:
-            weight = find(r["contexts"], r["w1"], grams >> bits, 1.0)
-        shard = shard_of(grams >> bits * (k - 2), self.shards)
-        order = np.argsort(shard, kind="stable")
-        at = firsts(shard[order])
-        for i, j in zip(at, np.append(at[1:], len(order))):
-            s, rows = int(shard[order[i]]), order[i:j]
-            if not r["present"][s]:
-                continue
-            if s not in self.tries:
-                self.tries[s] = Trie(f"{self.path}/{s}", bits)
-            trie = self.tries[s]
-            node, above = trie.walk(k, grams[rows])
-            own[rows] = trie.value(k, 0, node, 0.0)
-            if k > 2:
-                weight[rows] = trie.value(k - 1, 1, above, 1.0)
-        return own, weight
+    def _trie(self, s: int) -> Trie | None:
+        if s not in self.tries:
+            self.tries[s] = Trie(f"{self.path}/{s}", self.unit.bits) if self._root()["present"][s] else None
+        return self.tries[s]
 
 
 def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, none: float) -> np.ndarray:

@@ -3,7 +3,7 @@
 A gram of order k is a long whose lowest k * bits bits are its symbols, the last one lowest; above them stands a model's number, so
 that several models (one for each language) share the tables. Every text is preceded by n - 1 pads (line feeds, of bytes).
 
-Pieces are those of a SentencePiece vocabulary of up to 2**15: words are cut at blanks and line feeds, a line feed is its byte's
+Pieces are those of a SentencePiece vocabulary of up to 2**15. Words are cut at blanks and line feeds; a line feed is its byte's
 piece, and so is what the vocabulary can't spell, so every text is made of known symbols.
 """
 
@@ -15,10 +15,10 @@ from itertools import chain
 
 import numpy as np
 
-from .kernel import texts
+from .kernel import P, U, texts, window_hash
 
 N = 5
-PIECES, CACHE = 4, 300_000
+PIECES, CACHE = 4, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -44,14 +44,33 @@ BYTES = Unit()
 
 @lru_cache(2)
 def _processor(proto: bytes) -> tuple:
-    """The vocabulary, its bytes' pieces, and the pieces of words seen in this task."""
+    """The vocabulary, its bytes' pieces, and the words seen in this task."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
     byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
     if sp.get_piece_size() > 1 << 15 or not all(sp.is_byte(i) for i in byte):
         raise ValueError("the vocabulary must have up to 2**15 pieces, and those of all bytes")
-    return sp, byte, {}
+    return sp, byte, Known()
+
+
+class Known:
+    """Words by hash, sorted, and where their pieces are in one array."""
+
+    def __init__(self):
+        self.hash, self.at, self.size, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))])
+        both = np.concatenate([self.hash, hashes])
+        order = np.argsort(both, kind="stable")
+        self.hash, self.at, self.size = both[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+
+    def trim(self) -> None:
+        if len(self.hash) > CACHE:
+            self.__init__()
 
 
 @dataclass(frozen=True)
@@ -63,25 +82,40 @@ class Pieces(Unit):
     proto: bytes = b""
 
     def symbols(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces and offsets into them; each distinct word is encoded once, and the last ones of the task are kept."""
         sp, byte, known = _processor(self.proto)
-        parts, offs = [], [0]
-        for t in column.to_pylist():
-            n = 0
-            if t:
-                w = t.replace("\n", " \n ").split(" ") if "\n" in t else t.split(" ")
-                new = list(set(w).difference(known))
-                if new:
-                    for x, ids in zip(new, sp.encode(new)):
-                        known[x] = ids or [byte[b] for b in (x.encode() or b" ")]
-                    if "\n" in new:
-                        known["\n"] = [byte[10]]
-                ids = np.fromiter(chain.from_iterable(map(known.__getitem__, w)), np.int64)
-                parts.append(ids)
-                n = len(ids)
-                if len(known) > CACHE:
-                    known.clear()
-            offs.append(offs[-1] + n)
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(offs, np.int64)
+        data, offs, _ = texts(column)
+        start, end, hashes = spans(data, offs)
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        new = np.flatnonzero(~np.isin(distinct, known.hash, assume_unique=True))
+        raw = data.tobytes()
+        words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]
+        ids = sp.encode(words, num_threads=1) if words else []
+        for i, (x, got) in enumerate(zip(words, ids)):
+            if x == "\n" or not got:
+                ids[i] = [byte[b] for b in (x.encode() or b" ")]
+        known.add(distinct[new], ids)
+        here = np.searchsorted(known.hash, distinct)
+        each = known.size[here][which]
+        place = np.append(0, np.cumsum(each))
+        out = known.ids[np.repeat(known.at[here][which] - place[:-1], each) + np.arange(place[-1])]
+        known.trim()
+        return out, place[np.searchsorted(start, offs)]
+
+
+def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of words: runs without blanks and line feeds, each line feed, and each blank that isn't right after a run."""
+    n = len(data)
+    first = np.zeros(n + 1, bool)
+    first[offs] = True
+    feed = data == 10
+    letter = (data != 32) & ~feed
+    after = np.zeros(n, bool)
+    after[1:] = letter[:-1] & ~first[1:n]
+    start = np.flatnonzero(feed | ~after)
+    stop = np.append(np.flatnonzero(~letter | first[:n]), n)
+    end = np.where(letter[start], stop[np.minimum(np.searchsorted(stop, start + 1), len(stop) - 1)], start + 1)
+    return start, end, window_hash(data.astype(U) + U(1), start, end, P)
 
 
 def codes(data: np.ndarray, offs: np.ndarray, unit: Unit = BYTES) -> np.ndarray:

@@ -72,7 +72,7 @@ def write_blob(path: str, data: bytes) -> None:
 def map_blob(path: str) -> np.ndarray:
     """Bytes of a blob: memory-mapped where the shared folder is mounted, else read."""
     if (here := _local(path)) is not None:
-        return np.memmap(here, np.uint8, "r") if os.path.getsize(here) else np.empty(0, np.uint8)
+        return np.asarray(np.memmap(here, np.uint8, "r")) if os.path.getsize(here) else np.empty(0, np.uint8)
     return _fetched(path)
 
 

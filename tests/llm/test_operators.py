@@ -273,6 +273,12 @@ def test_pieces_tell_word_order(spark, proto):
     sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
     assert ids[: offs[1]].tolist() == sp.encode(some[0]) and np.diff(offs).tolist()[2:4] == [0, 0] and offs[5] > offs[4]
     assert sp.decode(ids[offs[1] : offs[2]].tolist()).split() == ["a", "b"] and (ids < unit.size).all()
+    odd = [" a  b \n\n c", "a\n", "\nb ", "ab", "ab"]
+    ids2, offs2 = unit.symbols(pa.array(odd))
+    byte = lambda b: sp.encode(" ")[0] if b == 32 else sp.piece_to_id(f"<0x{b:02X}>")
+    a, b, c = (sp.encode(x) for x in "abc")
+    want = [[byte(32), *a, byte(32), *b, byte(10), byte(10), byte(32), *c], [*a, byte(10)], [byte(10), *b], sp.encode("ab"), sp.encode("ab")]
+    assert [ids2[i:j].tolist() for i, j in zip(offs2, offs2[1:])] == want
     grams = ngrams.codes(ids, offs, unit)
     want = [1, 1, 1, *ids[: offs[1]].tolist()]
     assert [int(g) for g in grams[: offs[1]]] == [sum(x << 15 * (3 - j) for j, x in enumerate(want[i : i + 4])) for i in range(offs[1])]
@@ -291,14 +297,20 @@ def test_pieces_tell_word_order(spark, proto):
     assert abs(np.exp(m.logp(context + np.arange(unit.size))).sum() - 1) < 0.02
 
 
-@pytest.mark.parametrize("n,u", [(1, 5), (50, 10), (1000, 10**6), (300, 300), (5, 10**12), (64, 0)])
+@pytest.mark.parametrize("n,u", [(1, 5), (50, 10), (1000, 10**6), (300, 300), (5, 10**12), (64, 0), (3000, 10**5), (500, 2**40)])
 def test_elias_fano(n, u):
     v = np.sort(np.random.default_rng(n).integers(0, u + 1, n))
     meta, arrays = eftrie.EliasFano.encode(v)
     e = eftrie.EliasFano(**meta, packed=arrays[0], high=arrays[1], before=arrays[2])
     q = np.random.default_rng(u).integers(0, u + 2, 40)
     z = np.zeros(40, np.int64)
-    assert (e[np.arange(n)] == v).all() and (e.successor(z, z + n, q) == np.searchsorted(v, q)).all()
+    place, value = e.successor(z, z + n, q)
+    assert (e.all() == v).all() and (place == np.searchsorted(v, q)).all() and (value == np.append(v, -1)[place]).all()
+    a, b = e.pair(np.arange(n - 1))
+    assert (a == v[:-1]).all() and (b == v[1:]).all()
+    q = np.minimum(q, v[-1])
+    a, b = e.bucket(q)
+    assert (a == np.searchsorted(v, q >> e.low << e.low)).all() and (b == np.searchsorted(v, (q >> e.low) + 1 << e.low)).all()
 
 
 def test_model_edges(spark):
