@@ -41,7 +41,7 @@ from .kernel import U, mix, slices, texts
 from .ngrams import BYTES, Unit, codes, cut, discounts
 from .shared import map_blob, new_path, stash, write_blob
 
-CODES, EACH, FLUSH, SLICE, BLOCK, WIDE = 254, 8 << 20, 4 << 20, 8 << 20, 1 << 15, 6
+CODES, EACH, FLUSH, SLICE, BLOCK, WIDE = 254, 8 << 20, 3 << 20, 4 << 20, 1 << 15, 6
 
 
 # ---- packed runs

@@ -18,7 +18,7 @@ import numpy as np
 from .kernel import P, U, texts, window_hash
 
 N = 5
-PIECES, CACHE = 4, 1 << 20
+PIECES, CACHE = 4, 1 << 19
 
 
 @dataclass(frozen=True)
