@@ -4,8 +4,8 @@ mu-law and A-law bytes are expanded by tables of 256 samples. An ADPCM block (th
 spare byte, then nibbles, the low one first) depends on its own header alone, so step i is taken in all blocks of a batch at once.
 Resampling is polyphase: a windowed sinc at the ratio's phases, over all recordings of a batch, which silence keeps apart.
 
-Edge cases: a null payload, codec or rate, an unknown codec and a rate that isn't positive give a null pcm and null n_samples; an
-empty payload gives an empty pcm. A last ADPCM block may be short; less than a header is left out, and a step index over 88
+Edge cases: a null payload, codec or rate, an unknown codec and a rate under LEAST or over MOST give a null pcm and null n_samples; an
+empty payload gives an empty pcm. A very long recording is decoded whole, by itself: its samples are in memory at once. Other columns are left out, whatever their names. A last ADPCM block may be short; less than a header is left out, and a step index over 88
 counts as 88. Repeated rows are each decoded. An empty table gives none.
 """
 
@@ -20,6 +20,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 TARGET, BLOCK, TAPS, BATCH = 16_000, 256, 16, 2 << 20
+#: Rates that recordings have, of 1,000 to 768,000 samples a second; the least and the most bound what a byte grows to and the filters' taps.
+LEAST, MOST = 1_000, 768_000
 
 STEPS = np.array([7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767], np.int32)
 MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
@@ -96,7 +98,7 @@ def resample(pcm: np.ndarray, off: np.ndarray, rate: int, target: int, taps: int
     g = gcd(rate, target)
     up, down = target // g, rate // g
     taps = max(taps, 2 * (-(-taps * down // (2 * up)))) if down > up else taps
-    h = _filters(up, down, taps)
+    h = _filters(up, down, taps)  # rates without a common divisor have as many phases as the target has samples a second
     n = np.diff(off)
     room = -(-(n + 2 * taps) // down) * down  # silence between, and phases that start with each recording
     place = np.concatenate([[0], np.cumsum(room)])
@@ -130,7 +132,7 @@ def decode_batch(payloads: pa.Array, codec: list, rate: list, target: int, block
     out: list = [None] * len(payloads)
     kinds: dict[tuple, list[int]] = {}
     for i, (c, r, ok) in enumerate(zip(codec, rate, valid)):
-        if ok and r is not None and r > 0 and c in (*TABLES, "adpcm"):
+        if ok and r is not None and LEAST <= r <= MOST and c in (*TABLES, "adpcm"):
             kinds.setdefault((c, int(r)), []).append(i)
     for (c, r), rows in kinds.items():
         size = (at[1:] - at[:-1])[rows]

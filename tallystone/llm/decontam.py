@@ -14,7 +14,9 @@ have any size. No text is shuffled.
 Result: (doc_id, item_id, score, similarity, start_word, end_word), one row for each passage.
 
 Edge cases: null and empty texts on either side match nothing, as do items under `k` words; items with the same text are
-each reported. Rows with a null id on either side are left out. An empty table gives none.
+each reported. Rows with a null id on either side are left out. A very long text is searched whole; repeated rows
+are each reported, and of equal alignments the first. An empty table gives none. Other columns may have any names; without_leaks returns
+them as they are.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .kernel import signed, texts, word_batches, words
+from .shared import fresh
 
 K, SHARE, LEAST, ENOUGH, FLOOR, MOST = 3, 0.5, 0.4, 13, 8, 1_000_000
 
@@ -189,5 +192,6 @@ def _groups(items: DataFrame, k: int, most: int):
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that leak an item."""
-    bad = leaks(docs, benchmark, id, text).select(F.col(id).alias("__leak")).distinct()
-    return docs.join(bad, docs[id] == F.col("__leak"), "left_anti")
+    leak = fresh(docs, "leak")
+    bad = leaks(docs, benchmark, id, text).select(F.col(id).alias(leak)).distinct()
+    return docs.join(bad, docs[id] == bad[leak], "left_anti")

@@ -15,7 +15,8 @@ Result: (doc_id, line, family, probability, agreement, confirmed) of each paragr
 
 Edge cases: null and empty texts have no paragraphs, and those under `shortest` words (1: without words) are unknown. Null ids are kept as such.
 Repeated rows are each reported. Ties of probability go to the first family by name. A sample without lines (an empty
-table) leaves the prose as "unknown" examples; the scan of an empty table gives none.
+table) leaves the prose as "unknown" examples; the scan of an empty table gives none. A very
+long text is scanned whole. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ Lines (between line feeds) are compared in lower case with white space squeezed,
 A line is named by 63 bits of a hash of its characters. No partner is left out, however common the line.
 
 Edge cases: null and empty texts have no lines. Rows with a null id are left out of the search and left as they are. Rows
-that share an id are one document. An empty table gives none. remove_lines drops a document none of whose text is left.
+that share an id are one document: a line of theirs that stands at one place in several rows is one line. A very long text or line is
+read whole, and ties go to the smallest id, then line. An empty table gives none. remove_lines drops a document of which nothing but white
+space is left. Other columns may have any names, and are returned as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .kernel import Hasher, P, U, folded, mix, signed, slices, texts
-from .shared import in_lists, sorted_lists, stash
+from .shared import fresh, in_lists, sorted_lists, stash
 
 TAU, SHORTEST = 2, 24
 
@@ -251,33 +253,22 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", tau:
     pairs, places = _search(docs, id, text, tau, shortest, least)
     roots = stash(components(stash(pairs, "near-lines").select("a", "b")).withColumnRenamed("node", "name"), "line-groups")
 
-    def firsts(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        name, group, doc, line = (t.column(c).to_numpy() for c in ("name", "group", "doc", "line"))
-        order = np.lexsort((line, doc, group))
-        name, group, doc, line = name[order], group[order], doc[order], line[order]
-        start = np.concatenate([[True], group[1:] != group[:-1]])
-        lead = np.maximum.accumulate(np.where(start, np.arange(len(group)), 0))
-        again = np.flatnonzero((doc != doc[lead]) | (line != line[lead]))
-        lead = lead[again]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[again], line[again], doc[lead], line[lead], name[again] == name[lead])], ["doc", "line", "d", "l", "exact"])
-
-    found = places.join(roots, "name", "left")
-    found = found.select("name", F.coalesce("root", "name").alias("group"), "doc", "line").repartition("group")
-    found = found.mapInArrow(firsts, "doc long, line int, d long, l int, exact boolean")
-    return found.select(F.col("doc").alias(id), "line", F.col("d").alias(f"first_{id}"), F.col("l").alias("first_line"), "exact")
+    found = places.join(roots, "name", "left").select("name", F.coalesce("root", "name").alias("group"), "doc", "line")
+    # added up within each task, so a line that stands everywhere is a row a task; most groups are one line, and end here
+    place = F.struct("doc", "line", "name")
+    firsts = found.groupBy("group").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("group", "first")
+    again = found.join(firsts, "group").where("doc <> first.doc or line <> first.line")
+    return again.select(F.col("doc").alias(id), "line", F.col("first.doc").alias(f"first_{id}"), F.col("first.line").alias("first_line"), (F.col("name") == F.col("first.name")).alias("exact"))
 
 
 def remove_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", chars: str | None = "n_chars", tau: int = TAU, shortest: int = SHORTEST, least: int | None = None) -> DataFrame:
     """docs without their repeated lines; `chars`, if docs has it, becomes the new length. Documents left blank go."""
-    gone = repeated_lines(docs, id, text, tau, shortest, least).groupBy(F.col(id).alias("__id")).agg(F.collect_set("line").alias("__gone"))
-    both = docs.join(gone, docs[id] == F.col("__id"), "left")
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
-    out = both.withColumn(text, new).where(F.col("__gone").isNull() | (F.trim(F.col(text)) != ""))
+    key, gone = fresh(docs, "key", "gone")
+    again = repeated_lines(docs, id, text, tau, shortest, least).groupBy(F.col(id).alias(key)).agg(F.collect_set("line").alias(gone))
+    both = docs.join(again, docs[id] == again[key], "left")
+    lines = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.coalesce(F.array_contains(gone, i), F.lit(False)))
+    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
+    out = both.withColumn(text, new).where(F.col(gone).isNull() | F.col(text).rlike(r"[^\s\p{Z}\p{Cc}]"))
     if chars in docs.columns:
-        out = out.withColumn(chars, F.when(F.col("__gone").isNull(), F.col(chars)).otherwise(F.length(text).cast(docs.schema[chars].dataType)))
-    return out.select(*docs.columns)
+        out = out.withColumn(chars, F.when(F.col(gone).isNull(), F.col(chars)).otherwise(F.length(text).cast(docs.schema[chars].dataType)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ their fingerprints differ in at most `radius` bits. A `ratio` may bound the fact
 both at once is a ball in the metric max(Hamming / radius, |log count ratio| / log ratio), so the triangle
 inequality holds for either part and a vantage point may measure either.
 
-The tree's top is built on the driver from a bounded sample of fingerprints (`sample`, which shapes the
+The tree's top is built on the driver from a sample of fingerprints (`sample`, or EACH a shard if that is more; it shapes the
 shards and never the result): each node takes the vantage point whose median split the fewest balls
 straddle. A fingerprint has one home shard and is a query in each shard that its ball touches, so every
 pair within the radius meets in the shard of one of the two. A shard goes on splitting by vantage points
@@ -13,7 +13,8 @@ and compares what the triangle bounds leave, so the pairs are exact.
 
 Edge cases: a null or empty text, or one without words, has no fingerprint and is in a group by itself. Rows
 that share an id are one document. Rows with a null id are each by themselves. Equal fingerprints are
-collapsed first, so thousands of copies cost one query. Ties go to the smallest id. An empty table gives none.
+collapsed first, so thousands of copies cost one query. Ties go to the smallest id. A very long text is read whole. An empty
+table gives none. Other columns may have any names; keep_one returns them as they are.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .kernel import Words, mix, signed, word_batches
-from .shared import stash
+from .shared import fresh, stash
 
 U = np.uint64
 RADIUS, RATIO = 26, np.inf
-SHARD, SAMPLE, LEAF = 20_000, 20_000, 512
+SHARD, SAMPLE, EACH, LEAF = 20_000, 20_000, 16, 512
 
 
 def fingerprints_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +179,8 @@ def shard_pairs(n, hi, lo, id, home, radius: int, ratio: float) -> list[tuple[np
 def near_pairs(prints: DataFrame, radius: int = RADIUS, ratio: float = RATIO, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """All pairs (a, b, bits), a < b, within the radius, of distinct fingerprints (id, n, hi, lo)."""
     total = prints.count()
-    part = prints.where(F.xxhash64("hi", "lo", "n", F.lit(3)) / 2.0**64 + 0.5 < sample / max(total, 1)).toPandas() if total > shard else prints.limit(0).toPandas()
+    sample = max(sample, EACH * (total // shard))
+    part = prints.where(F.xxhash64("hi", "lo", "n", F.lit(3)) / 2.0**64 + 0.5 < sample / max(total, 1)).select("n", "hi", "lo").toPandas()
     nodes = build_tree(part["n"].to_numpy(), part["hi"].to_numpy().view(U), part["lo"].to_numpy().view(U), -(-total // shard), radius, ratio)
 
     def spread(batches):
@@ -209,11 +211,12 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
     """docs without all but the smallest id of each group; of rows that share an id, one stays."""
-    extra = near_groups(docs, id, text, radius, ratio).where(F.col(id) != F.col("group_id")).select(F.col(id).alias("__drop"))
-    kept = docs.join(extra, docs[id] == F.col("__drop"), "left_anti")
+    drop = fresh(docs, "drop")
+    extra = near_groups(docs, id, text, radius, ratio).where(F.col(id) != F.col("group_id")).select(F.col(id).alias(drop))
+    kept = docs.join(extra, docs[id] == extra[drop], "left_anti")
     has, none = kept.where(F.col(id).isNotNull()), kept.where(F.col(id).isNull())
-    again = stash(docs.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("__id")).count().where("count > 1").select("__id"), "repeated")
+    again = stash(docs.where(F.col(id).isNotNull()).groupBy(F.col(id).alias(drop)).count().where("count > 1").select(drop), "repeated")
     if again.isEmpty():
         return kept
-    single = has.join(again, has[id] == F.col("__id"), "left_anti")
-    return single.unionByName(has.join(again, has[id] == F.col("__id"), "left_semi").dropDuplicates([id])).unionByName(none)
+    single = has.join(again, has[id] == again[drop], "left_anti")
+    return single.unionByName(has.join(again, has[id] == again[drop], "left_semi").dropDuplicates([id])).unionByName(none)

@@ -16,7 +16,8 @@ Result: (doc_id, start_word, end_word, first), the maximal runs of words covered
 windows that are the first of their kind (smallest id, then position), the others are repeats.
 
 Edge cases: null and empty texts, and those under `least` words, have no windows. Rows with a null id are left out, rows
-that share an id are one document, and passages that one document repeats by itself don't count. An empty table gives none.
+that share an id are one document, and passages that one document repeats by itself don't count. A very long text is a shard by
+itself. Ties go to the smallest id, then position. An empty table gives none. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -546,11 +546,47 @@ def test_sharding(spark):
     for r in got:
         by_key[(r.source is not None, r.source or "", r.doc_id is not None, r.doc_id or 0)].append(r.shard)
     low = [(min(v), max(v)) for _, v in sorted(by_key.items())]
-    assert all(a[1] <= b[0] or a[0] <= b[0] for a, b in zip(low, low[1:]))
-    assert {r.shard for r in sharding.shard(df, ["source"], target=1 << 30).collect()} == {0}
+    assert all(a[1] <= b[0] for a, b in zip(low, low[1:])) and min(size) == 0 and max(size) <= len(size)
+    assert {r.shard for r in sharding.shard(df, ["source"], target=1 << 30, least=1).collect()} == {0}
     assert sharding.shard(empty(spark), ["source"]).count() == 0
     one = sharding.shard(df.withColumn("source", F.lit("same")), ["source"], target=target).groupBy("shard").count().collect()
-    assert len(one) > 10
+    assert len(one) > 10 and max(r["count"] for r in one) < 3 * min(r["count"] for r in one)
+
+
+def test_shards_follow_keys(spark):
+    """Few keys of many shards each, and many shards of few draws each, are in key order; shards are near the target."""
+    rng = random.Random(12)
+    rows = [(i, "x" * 1000, rng.choice(["aa", "bb", "bb", "bb", None, "ff"]), rng.choice([math.nan, 1.5, None, -0.0])) for i in range(3000)]
+    df = spark.createDataFrame([*rows, *rows[:200]], "doc_id long, text string, lang string, x double")
+    for keys, draws in ((["lang"], 64), (["x", "lang"], 8), (["doc_id"], 2)):
+        got = sharding.shard(df, keys, target=20_000, draws=draws).select("doc_id", "lang", "x", "shard").collect()
+        place = collections.defaultdict(list)
+        for r in got:
+            place[sharding.plain([r[k] for k in keys])].append(r.shard)
+        order = [(min(place[k]), max(place[k])) for k in sorted(place)]
+        assert all(a[1] <= b[0] for a, b in zip(order, order[1:])) and len(got) == 3200
+        size = collections.Counter(r.shard for r in got)
+        assert set(size) == set(range(len(size))) and 100 < len(size) < 330 and max(size.values()) <= 2.1 * 20_000 / 1016
+
+
+def test_splitters_against_sorting(spark):
+    """With every row drawn, the ranges are those that sorting gives."""
+    rng = random.Random(13)
+    df = frame(spark, [(rng.randrange(10**6), "x" * rng.randrange(500)) for _ in range(800)])
+    got = sharding.shard(df, ["doc_id"], target=10_000, draws=10**9, least=1).select("doc_id", F.octet_length("text").alias("n"), "shard").collect()
+    size = collections.Counter()
+    for r in got:
+        size[r.shard] += r.n + sharding.BASE
+    rows = sorted((r.doc_id, r.n + sharding.BASE) for r in got)
+    assert [r.shard for r in sorted(got, key=lambda r: r.doc_id)] == sorted(r.shard for r in got)
+    assert len(size) - sum(n for _, n in rows) / 10_000 < 4 and max(size.values()) <= 1.25 * 10_000 and min(size.values()) > 5_000
+
+
+def test_sharding_names(spark):
+    df = spark.createDataFrame([(i, "x" * 50, i % 3, i, i, "q") for i in range(300)], "id long, text string, part int, parts long, start long, SHARD string")
+    out = sharding.shard(df, ["part", "id"], target=1000)
+    assert out.columns == ["id", "text", "part", "parts", "start", "shard"]
+    assert sorted((r.id, r.part, r.parts, r.start) for r in out.collect()) == [(i, i % 3, i, i) for i in range(300)]
 
 
 # ---- 10 passages
