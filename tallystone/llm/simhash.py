@@ -7,9 +7,9 @@ inequality holds for either part and a vantage point may measure either.
 
 The tree's top is built on the driver from a sample of fingerprints (`sample`, or EACH a shard if that is more; it shapes the
 shards and never the result): each node takes the vantage point whose median split the fewest balls
-straddle. A fingerprint has one home shard and is a query in each shard that its ball touches, so every
-pair within the radius meets in the shard of one of the two. A shard goes on splitting by vantage points
-and compares what the triangle bounds leave, so the pairs are exact.
+straddle. A fingerprint has one home shard. If its ball touches another, either it is a query there or
+that shard's fingerprints are queries here, so every pair within the radius meets once. A shard goes on
+splitting by vantage points and compares what the triangle bounds leave, so the pairs are exact.
 
 Edge cases: a null or empty text, or one without words, has no fingerprint and is in a group by itself. Rows
 that share an id are one document. Rows with a null id are each by themselves. Equal fingerprints are
@@ -20,7 +20,6 @@ table gives none. Other columns may have any names; keep_one returns them as the
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -110,7 +109,10 @@ def build_tree(n: np.ndarray, hi: np.ndarray, lo: np.ndarray, leaves: int, radiu
 
 
 def route(nodes: list, n, hi, lo, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, whether it's the home): the home and every shard that the ball around the row touches."""
+    """(row, shard, whether it's the home): the home, and of the shards that the ball around the row touches those that it has to visit.
+
+    Of two shards whose rows' balls touch each other, one visits the other: the lower one if their numbers' sum is even.
+    """
     out = []
 
     def go(k: int, at: np.ndarray, home: np.ndarray) -> None:
@@ -127,28 +129,40 @@ def route(nodes: list, n, hi, lo, radius: int, ratio: float) -> tuple[np.ndarray
         go(two, at[t], home[t] & ~left[t])
 
     go(0, np.arange(len(n)), np.ones(len(n), bool))
-    return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
+    row, shard, home = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, bool)))
+    at_home = np.zeros(len(n), np.int64)
+    at_home[row[home]] = shard[home]
+    own = at_home[row]
+    visit = home | ((own < shard) == ((own + shard) % 2 == 0)) & (own != shard)
+    return row[visit], shard[visit], home[visit]
 
 
 def shard_pairs(n, hi, lo, id, home, radius: int, ratio: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(id a, id b, bits) of pairs of which the smaller id is at home here, by a vantage-point tree down to leaves."""
+    """(id a, id b, bits), a < b, of pairs of which one at least is at home here, by a vantage-point tree down to leaves."""
+    home = home.astype(bool)
     found: list = []
     rng = np.random.default_rng(11)
     r2 = np.log(ratio) + 1e-9
     size = np.log(n)
 
     def compare(h: np.ndarray, q: np.ndarray) -> None:
-        h, q = h[np.argsort(size[h], kind="stable")], q[np.argsort(size[q], kind="stable")]
-        sq = size[q]
-        for i in range(0, len(h), 64):
-            b = h[i : i + 64]
-            c = q[np.searchsorted(sq, size[b[0]] - r2) : np.searchsorted(sq, size[b[-1]] + r2, "right")]
-            d = np.bitwise_count(hi[b][:, None] ^ hi[c]) + np.bitwise_count(lo[b][:, None] ^ lo[c])
-            x, y = np.nonzero(d <= radius)
-            ok = (id[b[x]] < id[c[y]]) & (np.abs(size[b[x]] - size[c[y]]) <= r2)
-            x, y = x[ok], y[ok]
-            if len(x):
-                found.append((id[b[x]], id[c[y]], d[x, y]))
+        """All of h with all of q, in tiles that stay in a core's cache; where both are at home, a pair is taken once."""
+        if r2 < np.inf:
+            h, q = h[np.argsort(size[h], kind="stable")], q[np.argsort(size[q], kind="stable")]
+        sq, ah, al, ch, cl = size[q], hi[h], lo[h], hi[q], lo[q]
+        for i in range(0, len(h), 32):
+            b, bh, bl = h[i : i + 32], ah[i : i + 32, None], al[i : i + 32, None]
+            first, last = (np.searchsorted(sq, size[b[0]] - r2), np.searchsorted(sq, size[b[-1]] + r2, "right")) if r2 < np.inf else (0, len(q))
+            for j in range(first, last, 2048):
+                k = min(j + 2048, last)
+                d = np.bitwise_count(bh ^ ch[j:k])
+                d += np.bitwise_count(bl ^ cl[j:k])
+                at = np.flatnonzero(d <= radius)
+                if len(at):
+                    x, y = b[at // (k - j)], q[j + at % (k - j)]
+                    ok = (x != y) & (~home[y] | (id[x] < id[y])) & (np.abs(size[x] - size[y]) <= r2)
+                    x, y = x[ok], y[ok]
+                    found.append((np.minimum(id[x], id[y]), np.maximum(id[x], id[y]), d.ravel()[at[ok]].astype(np.int32)))
 
     def search(h: np.ndarray, q: np.ndarray, tries: int) -> None:
         if not len(h) or not len(q):
@@ -189,13 +203,20 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, ratio: float = RATIO, sh
             row, at, home = route(nodes, n, hi.view(U), lo.view(U), radius, ratio)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(n[row]), pa.array(hi[row]), pa.array(lo[row]), pa.array(at), pa.array(home)], ["id", "n", "hi", "lo", "shard", "home"])
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = {c: pdf[c].to_numpy() for c in pdf}
-        found = shard_pairs(x["n"], x["hi"].view(U), x["lo"].view(U), x["id"], x["home"].astype(bool), radius, ratio)
-        return pd.DataFrame({c: np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i, c in enumerate(("a", "b", "bits"))})
+    def within(batches):
+        got = [b for b in batches if b.num_rows]
+        if got:
+            t = pa.Table.from_batches(got)
+            x = {c: t.column(c).to_numpy() for c in ("n", "hi", "lo", "id", "home", "shard")}
+            for s in np.unique(x["shard"]):
+                at = x["shard"] == s
+                found = shard_pairs(x["n"][at], x["hi"][at].view(U), x["lo"][at].view(U), x["id"][at], x["home"][at], radius, ratio)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(3)], ["a", "b", "bits"])
 
     spread_df = prints.select("id", "n", "hi", "lo").mapInArrow(spread, "id long, n long, hi long, lo long, shard long, home boolean")
-    return spread_df.groupBy("shard").applyInPandas(within, "a long, b long, bits int")
+    leaves = sum(isinstance(node, int) for node in nodes)
+    return spread_df.withColumn("shard", F.col("shard").cast("int")).repartitionById(leaves, "shard").mapInArrow(within, "a long, b long, bits int")
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, ratio: float = RATIO, shard: int = SHARD) -> DataFrame:
