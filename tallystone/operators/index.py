@@ -43,7 +43,10 @@ def chunks_of(files: DataFrame) -> DataFrame:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """A row for each term of each chunk, with its places."""
-    words = chunks.select("path", "seq", tokens("body").alias("words"))
+    return postings_of(chunks.select("path", "seq", tokens("body").alias("words")))
+
+
+def postings_of(words: DataFrame) -> DataFrame:
     each = words.select("path", "seq", F.size("words").alias("dl"), F.posexplode("words").alias("i", "term"))
     return each.groupBy("path", "seq", "dl", "term").agg(F.array_sort(F.collect_list("i")).alias("at"))
 
@@ -55,11 +58,8 @@ def build(spark: SparkSession, cfg: Config) -> dict:
     version = f"v-{time.time_ns()}-{uuid.uuid4().hex[:6]}"
     folder = cfg.index / version
     files = corpus.file_texts(corpus.list_files(spark, corpus.default_sources(cfg)))
-    chunks_of(files).write.parquet(f"{folder}/chunks")
+    write(chunks_of(files), str(folder))
     chunks = spark.read.parquet(f"{folder}/chunks")
-    postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "path", "seq").write.parquet(f"{folder}/postings")
-    lengths = chunks.select(F.size(tokens("body")).alias("dl"))
-    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/stats")
     n = chunks.agg(F.count_distinct("path").alias("files"), F.count("*").alias("chunks")).first()
     part = cfg.index / f".current-{uuid.uuid4().hex}"
     part.write_text(version)
@@ -105,16 +105,35 @@ def counted(postings_: DataFrame, phrases: list[list[str]]) -> DataFrame:
     return rows.where(some)
 
 
-def search(spark: SparkSession, cfg: Config, query: Query, **how) -> DataFrame:
-    """search.search over the index: only the terms' postings and the matching chunks are read."""
+def matches(chunks: DataFrame, postings_: DataFrame, totals: DataFrame, phrases: list[list[str]]) -> tuple[DataFrame, DataFrame]:
+    """Chunks that some phrase stands in, with f0, ... and dl, and the one row of statistics that BM25 needs; totals has n and avgdl."""
+    hits = counted(postings_, phrases)
+    some = hits.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
+    return chunks.join(hits, ["path", "seq"]), totals.crossJoin(some)  # of one row each
+
+
+def search_frames(chunks: DataFrame, postings_: DataFrame, totals: DataFrame, query: Query, **how) -> DataFrame:
     from tallystone.operators import search as s
 
-    folder = current(cfg)
-    chunks = spark.read.parquet(f"{folder}/chunks")
-    p = query.phrases
-    if not p:
+    if not query.phrases:
         return s.search(chunks, query, **how)
-    hits = counted(spark.read.parquet(f"{folder}/postings"), p)
-    some = hits.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(p))])
-    one = spark.read.parquet(f"{folder}/stats").crossJoin(some)
-    return s.search(chunks.join(hits, ["path", "seq"]), query, stats=one, **how)
+    found, stats_ = matches(chunks, postings_, totals, query.phrases)
+    return s.search(found, query, stats=stats_, **how)
+
+
+def write(chunks: DataFrame, folder: str) -> None:
+    """The three tables of an index."""
+    spark = chunks.sparkSession
+    chunks.write.parquet(f"{folder}/chunks")
+    chunks = spark.read.parquet(f"{folder}/chunks")
+    words = chunks.select("path", "seq", tokens("body").alias("words"))
+    postings_of(words).repartitionByRange("term").sortWithinPartitions("term", "path", "seq").write.parquet(f"{folder}/postings")
+    # lengths are the postings' own; a chunk without words has none
+    each = spark.read.parquet(f"{folder}/postings").select("path", "seq", "dl").distinct().agg(F.sum("dl").alias("words"))
+    chunks.agg(F.count("*").alias("n")).crossJoin(each).select("n", (F.coalesce("words", F.lit(0)) / F.col("n")).alias("avgdl")).write.parquet(f"{folder}/stats")
+
+
+def search(spark: SparkSession, cfg: Config, query: Query, **how) -> DataFrame:
+    """search.search over the index: only the terms' postings and the matching chunks are read."""
+    folder = current(cfg)
+    return search_frames(*(spark.read.parquet(f"{folder}/{t}") for t in ("chunks", "postings", "stats")), query, **how)

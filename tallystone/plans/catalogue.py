@@ -7,14 +7,22 @@ part brands for the ledger.
 
 from __future__ import annotations
 
+import gzip
+import io
+import json
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
+from itertools import groupby
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tallystone.config import GENERIC
+from tallystone.config import GENERIC, Config
 from tallystone.functions import text as T
-from tallystone.operators import chunk, index, ingest, projections, registry, search
+from tallystone.operators import chunk, extract, index, ingest, projections, registry, review, search
+from tallystone.sources import corpus, log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,6 +53,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) * 2 <= cores and df.count() < 1_000_000 else df
 
 
+_made: dict[tuple, str] = {}
+
+
+def scratch(spark: SparkSession, name: str, d: str) -> tuple[Path, bool]:
+    """A folder for what is derived from the tables in d, and whether it is new: once a session, beside the session's checkpoints if it has a folder for them."""
+    key = (spark.sparkContext.applicationId, name, d)
+    if key in _made:
+        return Path(_made[key]), False
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = Path(base) / f"{name}-{uuid.uuid4().hex[:12]}" if base else Path(tempfile.mkdtemp(prefix=f"{name}-"))
+    folder.mkdir(parents=True, exist_ok=True)
+    _made[key] = str(folder)
+    return folder, True
+
+
+def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """chunks, postings and totals of the notes' index, which is built by the first query of a session that needs it."""
+    folder, new = scratch(spark, "index", d)
+    if new or not (folder / "made" / "stats").exists():
+        index.write(note_chunks(spark, d), f"{folder}/made")
+    return tuple(spark.read.parquet(f"{folder}/made/{x}") for x in ("chunks", "postings", "stats"))
+
+
 # ---- adapters, each with its SQL
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -94,11 +127,14 @@ BM25 = FREQ + ", r AS (SELECT f.*, s.*, " + " + ".join(f"({_IDF.format(i=i)}) *
 TOP = BM25 + ", top AS (SELECT * FROM r ORDER BY round(bm25, 9) DESC, path, seq LIMIT 200)"
 
 
-def _pipeline_sql(recency: bool = False, ratio: float = 0.35, k: int = 5) -> str:
+OF_TWO = "WHERE kind IN ('profile', 'state') "
+
+
+def _pipeline_sql(recency: bool = False, ratio: float = 0.35, k: int = 5, where: str = "") -> str:
     w = "CASE kind WHEN 'note' THEN 1.25 WHEN 'profile' THEN 1.20 WHEN 'state' THEN 1.15 ELSE 1.0 END"
     bonus = f" * (1 + 0.5 * exp(-(({NOW} - mtime) / 86400.0) / 30.0))" if recency else ""
     cov = "(" + " + ".join(f"CASE WHEN ln((n + 1) / (n{i} + 1)) > 0 AND contains(lower(body), '{x}') THEN ln((n + 1) / (n{i} + 1)) ELSE 0 END" for i, x in enumerate(TERMS)) + ") / (" + " + ".join(f"ln((n + 1) / (n{i} + 1))" for i in range(3)) + ")"
-    return TOP + f""", sc AS (SELECT *, round(bm25 * ({w}){bonus}, 3) AS score FROM top), gate AS (SELECT * FROM sc WHERE score >= (SELECT max(score) FROM sc) * {ratio}),
+    return TOP.replace("FROM r ORDER", f"FROM r {where}ORDER") + f""", sc AS (SELECT *, round(bm25 * ({w}){bonus}, 3) AS score FROM top), gate AS (SELECT * FROM sc WHERE score >= (SELECT max(score) FROM sc) * {ratio}),
  one AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, round(bm25, 9) DESC, path, seq) AS rn FROM gate),
  hits AS (SELECT * FROM one WHERE rn = 1 ORDER BY score DESC, round(bm25, 9) DESC, path, seq LIMIT {k}),
  res AS (SELECT path, kind, seq, nseq, body, mtime, score, round({cov}, 3) AS coverage, row_number() OVER (ORDER BY score DESC, round(bm25, 9) DESC, path, seq) AS rank FROM hits)"""
@@ -375,15 +411,13 @@ def split_query_terms(spark, d):
 
 @query(f"WITH {FREQ} SELECT n, round(avgdl, 6) AS avgdl, n0, n1, n2, round(ln((n + 1) / (n1 + 1)), 6) AS idf1 FROM s")
 def corpus_stats_df_idf(spark, d):
-    c = search.counts(search.tokenised(note_chunks(spark, d)), search.Query(TERMS).phrases)
-    s = search.statistics(c, 3)
+    s = index.matches(*indexed(spark, d), search.Query(TERMS).phrases)[1]
     return s.select("n", F.round("avgdl", 6).alias("avgdl"), "n0", "n1", "n2", F.round(F.log((F.col("n") + 1) / (F.col("n1") + 1)), 6).alias("idf1"))
 
 
 @query(f"WITH {WORDS} SELECT path, CAST(seq AS INT) AS seq, CAST(len(list_filter(range(1, len(words)), lambda i: words[i] = 'of' AND words[i + 1] = 'the')) AS INT) AS f FROM w WHERE len(list_filter(range(1, len(words)), lambda i: words[i] = 'of' AND words[i + 1] = 'the')) > 0")
 def phrase_match(spark, d):
-    c = search.counts(search.tokenised(note_chunks(spark, d)), [["of", "the"]])
-    return c.where("f0 > 0").select("path", "seq", F.col("f0").alias("f"))
+    return index.counted(indexed(spark, d)[1], [["of", "the"]]).select("path", "seq", F.col("f0").alias("f"))
 
 
 @query(f"WITH {WORDS} SELECT path, CAST(seq AS INT) AS seq, x AS term, count(*) AS f FROM (SELECT path, seq, unnest(words) AS x FROM w) GROUP BY ALL")
@@ -393,7 +427,9 @@ def index_postings(spark, d):
 
 @query(f"WITH {BM25} SELECT path, CAST(seq AS INT) AS seq, round(bm25, 6) AS score FROM r ORDER BY round(bm25, 9) DESC, path, seq LIMIT 20")
 def search_bm25_topk(spark, d):
-    return search.ranked(note_chunks(spark, d), search.Query(TERMS), most=20).select("path", "seq", F.round("bm25", 6).alias("score"))
+    q = search.Query(TERMS)
+    found, stats = index.matches(*indexed(spark, d), q.phrases)
+    return search.ranked(found, q, most=20, stats=stats).select("path", "seq", F.round("bm25", 6).alias("score"))
 
 
 HITS = "path, kind, CAST(seq AS INT) AS seq, CAST(nseq AS INT) AS nseq, body, score, coverage, rank"
@@ -405,27 +441,40 @@ def _hits(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {_pipeline_sql()} SELECT {HITS} FROM res")
 def search_full_pipeline(spark, d):
-    return _hits(search.search(note_chunks(spark, d), search.Query(TERMS)))
+    return _hits(index.search_frames(*indexed(spark, d), search.Query(TERMS)))
 
 
 @query(f"WITH {_pipeline_sql(True)} SELECT {HITS} FROM res")
 def search_kind_weighted_recency(spark, d):
-    return _hits(search.search(note_chunks(spark, d), search.Query(TERMS), recency_days=30.0, now=NOW))
+    return _hits(index.search_frames(*indexed(spark, d), search.Query(TERMS), recency_days=30.0, now=NOW))
 
 
 @query(f"WITH {_pipeline_sql(k=10)} SELECT {HITS.replace('rank', 'row_number() OVER (ORDER BY rank) AS rank')} FROM res WHERE coverage >= 0.5 AND score >= 0.1")
 def search_coverage(spark, d):
-    return _hits(search.search(note_chunks(spark, d), search.Query(TERMS), top_k=10, min_coverage=0.5, min_score=0.1))
+    return _hits(index.search_frames(*indexed(spark, d), search.Query(TERMS), top_k=10, min_coverage=0.5, min_score=0.1))
 
 
 @query(f"WITH {_pipeline_sql(k=10)}, u AS (SELECT *, sum({EST.format(x='body')}) OVER (ORDER BY rank) AS used FROM res) SELECT {HITS} FROM u WHERE used <= 1500")
 def search_token_budget(spark, d):
-    return _hits(search.search(note_chunks(spark, d), search.Query(TERMS), top_k=10, budget=1500))
+    return _hits(index.search_frames(*indexed(spark, d), search.Query(TERMS), top_k=10, budget=1500))
+
+
+@query(f"WITH {_pipeline_sql(where=OF_TWO)} SELECT {HITS} FROM res")
+def search_kinds(spark, d):
+    """Of two kinds; the statistics are those of all."""
+    return _hits(index.search_frames(*indexed(spark, d), search.Query(TERMS), kinds=["profile", "state"]))
+
+
+@query(f"WITH {_pipeline_sql(k=10)}, x AS (SELECT *, {EST.format(x='body')} AS n, substring(body, 1, 404) AS h FROM res WHERE rank = 1), y AS (SELECT *, list_max(list_filter(range(0, length(h) + 1), lambda i: {EST.format(x='substring(h, 1, i)')} <= 99)) AS m FROM x) SELECT path, rank, CASE WHEN n <= 100 THEN body ELSE regexp_replace(substring(h, 1, m), '\\s+$', '') || '…' END AS body FROM y")
+def search_budget_cuts_first(spark, d):
+    """A budget under the first hit's length cuts it, and leaves out the others."""
+    hits = index.search_frames(*indexed(spark, d), search.Query(TERMS), top_k=10, budget=100)
+    return hits.select("path", F.col("rank").cast("long").alias("rank"), "body")
 
 
 @query(f"WITH {_pipeline_sql(k=10)}, h AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, rank) AS r FROM res) SELECT {HITS} FROM h WHERE r <= 2 ORDER BY score DESC, rank LIMIT 5")
 def hints_two_per_kind(spark, d):
-    return _hits(search.hints(search.search(note_chunks(spark, d), search.Query(TERMS), top_k=10)))
+    return _hits(search.hints(index.search_frames(*indexed(spark, d), search.Query(TERMS), top_k=10)))
 
 
 @query(f"WITH {CHUNKS} SELECT kind, count(*) AS count FROM chunks GROUP BY 1")
@@ -477,3 +526,106 @@ def episode_payloads(spark, d):
     s = chunk.turns_to_sessions(t(spark, d, "conversations")).select(F.col("conv_id").cast("string").alias("path"), "turns")
     e = s.select(F.lit(0).alias("pos"), F.concat(F.lit("e"), "path").alias("episode_id"), F.struct("path", F.array(F.lit(0), F.size("turns")).alias("turn_range")).alias("source"))
     return payloads(e, s, 100).select("episode_id", "payload")
+
+
+@query(f"WITH c AS ({SQL['session_chunks_greedy']}), tails AS ({SQL['session_tail']}), n AS (SELECT conv_id, seq, count(*) OVER (PARTITION BY conv_id) AS nseq FROM c) SELECT conv_id, seq FROM n JOIN tails USING (conv_id) WHERE tail <> '' AND seq > 0 AND seq < nseq")
+def session_chunks_with_more_to_come(spark, d):
+    s = chunk.turns_to_sessions(t(spark, d, "conversations")).withColumns({"tail": chunk.session_tail(F.col("turns")), "kind": F.lit("session")})
+    return chunk.explode_chunks(s, chunk.session_chunks(F.col("turns")), ["conv_id", "kind", "tail"]).where(search.mid_session()).select("conv_id", "seq")
+
+
+@query("SELECT conv_id, count(*) AS turns, coalesce(sum(length(text)), 0) AS chars, count(*) FILTER (role = 'user') AS users FROM conversations GROUP BY 1")
+def sessions_from_json(spark, d):
+    """Each conversation as a session's file, read back."""
+    c = t(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))).alias("text"))
+    turns = c.select("conv_id", F.explode(corpus.as_turns(F.concat(F.lit(" "), "text"))).alias("x"))
+    return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.coalesce(F.sum(F.length("x.content")), F.lit(0)).cast("long").alias("chars"), F.count_if(F.col("x.role") == "user").alias("users"))
+
+
+@query(f"WITH {LEDGER} SELECT id, min_by(canonical_name, pos) AS canonical_name FROM ent GROUP BY 1")
+def ledger_first_by_id(spark, d):
+    e = ledger(spark, d)
+    twice = e.union(e.select("id", F.lit("later").alias("canonical_name"), "aliases", "confusable_with", F.col("pos") + 10_000))
+    return registry.first_by_id(twice).select("id", "canonical_name")
+
+
+# ---- the engine itself, in a home made of the tables
+
+@query(f"WITH {EVENTS} SELECT type, at, writer, CAST(pos AS VARCHAR) AS id FROM ev WHERE type IN ('click', 'purchase') AND ts >= TIMESTAMP '2000-01-01'")
+def log_bulk_append_and_read(spark, d):
+    """Events appended in bulk by executors and in a file by the driver, read back by type and time."""
+    folder, new = scratch(spark, "log", d)
+    if new:
+        e = events(spark, d).select(F.col("pos").cast("string").alias("id"), "type", "at", "writer")
+        one = e.orderBy(F.col("id").cast("long")).first().asDict()
+        log.append(folder, one)
+        log.append_frame(e.where(F.col("id") != one["id"]), folder)
+    return log.read(spark, folder, ["click", "purchase"], "2000-01-01T00:00:00Z").select("type", "at", "writer", "id")
+
+
+def home(spark: SparkSession, d: str) -> Config:
+    """A home whose sessions are the conversations (a third of them archived) and whose notes are the benchmark's items, ingested, extracted and reviewed.
+
+    The model is a rule: an episode of conversation c names topic c % 20; of topics 3 and 7 it isn't sure, and topic 19 it leaves out.
+    Every note promises its item; every third one has a reminder. Then topic 3 is approved, topic 7 rejected, and deferred proposals drained.
+    """
+    folder, new = scratch(spark, "home", d)
+    cfg = Config(folder, max_episodes_per_run=10**9, reminders_file=folder / "reminders.json").ensure_dirs()
+    if not new:
+        return cfg
+    for c, turns in groupby(t(spark, d, "conversations").orderBy("conv_id", "turn").toLocalIterator(), lambda r: r.conv_id):
+        text = json.dumps([{"role": r.role, "content": r.text} for r in turns]).encode()
+        file = cfg.sessions / "archive" / "2024-01" / f"{c}.json.gz" if c % 3 == 0 else cfg.sessions / f"{c}.json"
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(gzip.compress(text) if c % 3 == 0 else text)
+    keys = []
+    for r in t(spark, d, "benchmark").toLocalIterator():
+        (cfg.notes / f"{r.item_id}.md").write_text(r.text or "")
+        keys += [f"item-{r.item_id:08}"] * (r.item_id % 3 == 0)
+    cfg.reminders_file.write_text(json.dumps([{"title": k} for k in keys]))
+
+    def model(prompt: str, payload: str) -> dict:
+        if prompt == extract.COMMITMENT_PROMPT:
+            (item,) = re.findall(r"^FILE: (\d+)\.md$", payload, re.M)
+            return {"commitments": [{"key": f"item-{int(item):08}", "text": item}]}
+        found = [(id, int(c) % 20) for id, c in re.findall(r"^EPISODE_ID: (ep_(\d+)_\S+)$", payload, re.M)]
+        return {"episodes": [{"episode_id": id, "entities": [{"name": f"Topic {k:02}", "type": "thing", "confidence": "low" if k in (3, 7) else "high"}]} for id, k in found if k != 19]}
+
+    out = io.StringIO()
+    ingest.run(spark, cfg, backfill=True, out=out)
+    extract.run(spark, cfg, model, out=out)
+    for p in review.rows(spark, cfg, every=False, kind="entity"):
+        review.approve(spark, cfg, p["proposal_id"]) if p["name"] == "Topic 03" else review.reject(spark, cfg, p["proposal_id"])
+    review.drain(spark, cfg, "review", cfg.max_proposals_per_run)
+    return cfg
+
+
+@query(f"WITH {SESSION} SELECT CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN conv_id % 3 = 0 THEN 'sessions/archive/2024-01/' || conv_id || '.json.gz' ELSE 'sessions/' || conv_id || '.json' END AS path, count(*) AS \"end\", 'ep_' || conv_id || '_0-' || count(*) || '_' || substring(sha256(string_agg(p, chr(30) ORDER BY turn)), 1, 16) AS episode_id FROM parts GROUP BY conv_id")
+def engine_ingest_run(spark, d):
+    e = log.read(spark, home(spark, d).events, ["episode_added"])
+    return e.select("source.session_id", "source.path", F.col("source.turn_range")[1].cast("long").alias("end"), "episode_id")
+
+
+RUN = """c AS (SELECT DISTINCT conv_id, conv_id % 20 AS k FROM conversations), g AS (SELECT k, count(*) AS n FROM c GROUP BY 1), good AS (SELECT k FROM g WHERE k NOT IN (3, 7, 19) AND n >= 3),
+ x AS (SELECT (SELECT count(*) FROM c) AS eps, (SELECT count(*) FROM good) AS good, (SELECT count(*) FROM g WHERE k = 3) AS three, (SELECT count(*) FROM g WHERE k = 7) AS seven, (SELECT count(*) FROM benchmark) AS notes, (SELECT count(*) FROM benchmark WHERE item_id % 3 <> 0) AS m)"""
+
+
+@query(f"""WITH {RUN}, r AS (SELECT unnest([{{'type': 'episode_added', 'n': eps}}, {{'type': 'entity_scanned', 'n': eps}}, {{'type': 'entity_candidate_seen', 'n': (SELECT count(*) FROM c WHERE k NOT IN (3, 7, 19))}}, {{'type': 'entity_proposed', 'n': good}}, {{'type': 'entity_confirmed', 'n': good + three}},
+ {{'type': 'proposal_resolved', 'n': three + seven}}, {{'type': 'proposal_opened', 'n': three + seven + least(m, 10) + least(greatest(m - 10, 0), 10)}}, {{'type': 'proposal_deferred', 'n': greatest(m - 10, 0)}}, {{'type': 'commitment_scanned', 'n': notes}}]) AS v FROM x) SELECT v.type AS type, v.n AS n FROM r WHERE v.n > 0""")
+def engine_extract_run(spark, d):
+    return log.read(spark, home(spark, d).events).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {RUN} SELECT 'thing:topic_' || lpad(CAST(k AS VARCHAR), 2, '0') AS id, 'Topic ' || lpad(CAST(k AS VARCHAR), 2, '0') AS canonical_name, true AS saved FROM g WHERE k = 3 OR k IN (SELECT k FROM good)")
+def engine_ledger_replay(spark, d):
+    """The ledger folded from the log, and whether the files that the run kept say the same."""
+    cfg = home(spark, d)
+    kept = {e["id"]: e["canonical_name"] for e in registry.Ledger.load(cfg.registry).entities}
+    rows = [(e["id"], e["canonical_name"], kept.get(e["id"]) == e["canonical_name"]) for e in registry.replay(log.read(spark, cfg.events)).entities]
+    return spark.createDataFrame(rows, "id string, canonical_name string, saved boolean")
+
+
+@query(f"""WITH {RUN}, i AS (SELECT item_id, row_number() OVER (ORDER BY CAST(item_id AS VARCHAR) || '.md') AS r FROM benchmark WHERE item_id % 3 <> 0)
+ SELECT 'entity' AS kind, 'Topic ' || lpad(CAST(k AS VARCHAR), 2, '0') AS what, CASE k WHEN 3 THEN 'approved' ELSE 'rejected' END AS state FROM g WHERE k IN (3, 7) UNION ALL SELECT 'commitment', 'item-' || lpad(CAST(item_id AS VARCHAR), 8, '0'), CASE WHEN r <= 20 THEN 'queued' ELSE 'deferred' END FROM i""")
+def engine_proposals(spark, d):
+    return review.frame(spark, home(spark, d)).select("kind", F.coalesce("name", "key").alias("what"), "state")

@@ -9,12 +9,13 @@ from __future__ import annotations
 import json
 import os
 import secrets
+import shutil
 import time
 from contextlib import contextmanager
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 try:
     import fcntl
@@ -104,11 +105,23 @@ def emit(folder: Path, type: str, writer: str, **rest) -> str:
     return id
 
 
-def append_frame(rows: DataFrame, folder: str) -> None:
-    """Many events at once: checked, then written beside the driver's files, one folder of lines for each month."""
+def append_frame(rows: DataFrame, folder: str | Path) -> int:
+    """Many events at once: checked, given ids, written by the executors, then named as files of their months, which `read` lists after the months' own.
+
+    Returns the number of files. None is seen by a reader before all are checked and written.
+    """
+    folder = Path(folder)
     bad = " or ".join(f"coalesce({k}, '') = ''" for k in ENVELOPE)
-    checked = rows.withColumn("type", F.when(F.expr(bad), F.raise_error(F.lit("an event lacks its type, time or writer"))).otherwise(F.col("type")))
-    checked.withColumn("month", F.substring("at", 1, 7)).write.mode("append").partitionBy("month").json(folder)
+    id = F.expr("coalesce(id, concat('ev_', uuid()))") if "id" in rows.columns else F.expr("concat('ev_', uuid())")
+    checked = rows.withColumn("type", F.when(F.expr(bad), F.raise_error(F.lit("an event lacks its type, time or writer"))).otherwise(F.col("type"))).withColumn("id", id)
+    stamp = f"{time.time_ns()}-{secrets.token_hex(4)}"
+    part = folder / f".bulk-{stamp}"
+    checked.withColumn("month", F.substring("at", 1, 7)).write.partitionBy("month").json(f"file://{part.absolute()}")
+    files = sorted(part.glob("month=*/part-*"))
+    for i, f in enumerate(files):
+        os.replace(f, folder / f"{f.parent.name[6:]}.part-{stamp}-{i:06}.jsonl")
+    shutil.rmtree(part)
+    return len(files)
 
 
 def read(spark: SparkSession, folder: str | Path, types: list[str] | None = None, since: str | None = None) -> DataFrame:
@@ -123,7 +136,7 @@ def read(spark: SparkSession, folder: str | Path, types: list[str] | None = None
     if since:
         y, m = int(since[:4]), int(since[5:7])
         least = f"{y - (m == 1):04d}-{(m - 2) % 12 + 1:02d}"
-        files = [f for f in files if f.stem >= least]
+        files = [f for f in files if f.stem[:7] >= least]
         if not files:
             return spark.createDataFrame([], f"{SCHEMA}, file string, block long, row long")
     lines = spark.read.text([str(f) for f in files]).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
@@ -137,5 +150,5 @@ def read(spark: SparkSession, folder: str | Path, types: list[str] | None = None
 
 
 def with_position(rows: DataFrame) -> DataFrame:
-    """A dense `pos` in log order. It needs a total order, so it is for a log's projections and not for bulk scans."""
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy("file", "block", "row")).cast("long"))
+    """`pos`, which sorts in log order: where the line stands. It takes no shuffle."""
+    return rows.withColumn("pos", F.struct("file", "block", "row"))
