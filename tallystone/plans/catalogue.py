@@ -570,7 +570,7 @@ def home(spark: SparkSession, d: str) -> Config:
     Every note promises its item; every third one has a reminder. Then topic 3 is approved, topic 7 rejected, and deferred proposals drained.
     """
     folder, new = scratch(spark, "home", d)
-    cfg = Config(folder, max_episodes_per_run=10**9, reminders_file=folder / "reminders.json").ensure_dirs()
+    cfg = Config(folder, max_episodes_per_run=100_000, reminders_file=folder / "reminders.json").ensure_dirs()
     if not new:
         return cfg
     for c, turns in groupby(t(spark, d, "conversations").orderBy("conv_id", "turn").toLocalIterator(), lambda r: r.conv_id):
