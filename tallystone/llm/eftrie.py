@@ -41,7 +41,7 @@ from .kernel import U, mix, slices, texts
 from .ngrams import BYTES, Unit, codes, cut, discounts
 from .shared import map_blob, new_path, stash, write_blob
 
-CODES, EACH, FLUSH, SLICE, BLOCK, WIDE = 254, 8 << 20, 3 << 20, 4 << 20, 1 << 15, 6
+CODES, EACH, FLUSH, SLICE, BLOCK, WIDE = 254, 8 << 20, 3 << 20, 4 << 20, 1 << 15, 4
 
 
 # ---- packed runs
@@ -191,11 +191,38 @@ class EliasFano:
     def bucket(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places from and before which values with the high bits of v stand; v is at most the last value."""
         h = v >> self.low
-        out = []
-        for x in (h - 1, h):  # ones before the zero that ends the bucket before, and this one
-            word, _, place = self._select(np.maximum(x, 0), True)
-            out.append(np.where(x < 0, 0, (word << 6) + place.astype(np.int64) - x))
-        return out[0], np.minimum(out[1], self.n)
+        word, w, place = self._select(np.maximum(h - 1, 0), True)  # the zero that ends the bucket before
+        place = place.astype(U)
+        rest = w >> place >> U(1)
+        start = np.where(h > 0, (word << 6) + place.astype(np.int64) - h + 1, 0)
+        end = start + np.bitwise_count((rest & (U(0) - rest)) - U(1))  # ones before the next zero, mostly in the same word
+        far = np.flatnonzero((rest == 0) | (h == 0))
+        word, _, place = self._select(h[far], True)
+        end[far] = (word << 6) + place.astype(np.int64) - h[far]
+        return start, np.minimum(end, self.n)
+
+    def seek(self, lo: np.ndarray, hi: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Of each range lo:hi of rising values, the place of v, -1 if it isn't there: the successor by low bits among the values that share v's high bits."""
+        a, b = self.bucket(np.minimum(v, self.top))
+        lo, stop = np.maximum(lo, a), np.where(v > self.top, 0, np.minimum(hi, b))
+        want, out, end = v & ((1 << self.low) - 1), np.full(len(lo), -1), stop.copy()
+        zero = np.zeros(len(lo), np.int64)
+        at = np.flatnonzero(end - lo > WIDE)
+        while len(at):  # long ones are halved
+            mid = (lo[at] + end[at]) >> 1
+            less = self._low(mid, zero[: len(at)]) < want[at]
+            lo[at[less]] = mid[less] + 1
+            end[at[~less]] = mid[~less]
+            at = at[lo[at] < end[at]]
+        at = np.flatnonzero(lo < stop)
+        while len(at):  # mostly one value or two
+            x, i = self._low(lo[at], zero[: len(at)]), want[at]
+            same = x == i
+            out[at[same]] = lo[at[same]]
+            at = at[x < i]
+            lo[at] += 1
+            at = at[lo[at] < stop[at]]
+        return out
 
     @property
     def top(self) -> int:
@@ -297,13 +324,8 @@ class Trie:
         out[at[there]] = lo[there]
         more = np.flatnonzero((value < want) & (hi - lo > 1))
         if len(more):
-            lo, hi = lo[more] + 1, hi[more]
-            wide = np.flatnonzero(hi - lo > WIDE)
-            if len(wide):
-                a, b = values.bucket(np.minimum(want[more[wide]], values.top))
-                lo[wide], hi[wide] = np.maximum(lo[wide], a), np.minimum(hi[wide], b)
-            place, value = values.successor(lo, hi, want[more])
-            there = value == want[more]
+            place = values.seek(lo[more] + 1, hi[more], want[more])
+            there = place >= 0
             out[at[more[there]]] = place[there]
         return out
 
