@@ -50,8 +50,9 @@ def scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     common = sorted(r.lang for r in sizes if r.lang is not None)
     if len(common) >= unit.models:
         raise ValueError(f"{len(common)} languages, and numbers for {unit.models - 1}")
+    # a row a language, fewer than unit.models: sent along, else the text would be shuffled by language
     numbers = spark.createDataFrame([(c, i) for i, c in enumerate(common, 1)], "lang string, model long")
-    docs = docs.join(numbers, "lang", "left").select("id", "text", "lang", F.coalesce("model", F.lit(0)).alias("model"))
+    docs = docs.join(F.broadcast(numbers), "lang", "left").select("id", "text", "lang", F.coalesce("model", F.lit(0)).alias("model"))
     lists = sorted_lists(counted, "trusted-ids")
 
     def only(batch):
@@ -80,7 +81,7 @@ def scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     limits = {r.model: max(r.top, r.mid + slack) for r in quantiles(kept, "model", "bound", {"top": quantile, "mid": 0.5}).collect()}  # a row a language
     general = limits.get(-1)
     table = spark.createDataFrame([(m, limits.get(m, general)) for m in range(len(common) + 1)], "model long, t double")
-    rows = rows.join(table, "model", "left")
+    rows = rows.join(F.broadcast(table), "model", "left")
     fine = (F.col("n") > 0) & (F.lit(True) if not sizes or general is None else F.col("bound") <= F.col("t"))
     return rows.select(F.col("id").alias(id), F.col("lang").alias(lang), F.col("size").alias("n_bytes"), F.exp("mean").alias("perplexity"), F.exp("t").alias("threshold"), F.coalesce(fine, F.lit(False)).alias("accepted"))
 
