@@ -457,6 +457,55 @@ def test_lengths_do_not_matter(spark):
     assert got == want and {(i, 120 + i) for i in range(20)} <= got and sum(b >= 140 for _, b in got) > 20
 
 
+def test_near_pairs_do_not_meet_all_pairs():
+    rng = np.random.default_rng(3)
+    n = 20_000
+    hi, lo = (rng.integers(0, 1 << 64, n, np.uint64) for _ in range(2))
+    for i in range(0, 400, 2):  # pairs at all distances up to one over the radius
+        bits = np.zeros(128, np.uint8)
+        bits[rng.choice(128, 1 + i % 27, replace=False)] = 1
+        a, b = np.packbits(bits).view(np.uint64)
+        hi[i + 1], lo[i + 1] = hi[i] ^ a, lo[i] ^ b
+    parts, own, _ = simhash.plan(hi, lo, n, simhash.RADIUS)
+    assert sum(e + 1 for *_, e in parts) == simhash.RADIUS + 1 and sum(b for _, b, _ in parts) == 128
+    met, got = 0, set()
+    for (first, bits, _), masks in zip(parts, own):
+        w = simhash.word(hi, lo, first, bits)
+        for m in masks:
+            key = (w & m) * simhash.ODD
+            size = np.unique(key, return_counts=True)[1]
+            met += int((size * (size - 1) // 2).sum())
+            got |= {(min(p), max(p)) for p in zip(*(x.tolist() for x in simhash.agreeing(hi, lo, key, simhash.RADIUS)[:2]))}
+    assert {(i, i + 1) for i in range(0, 400, 2) if 1 + i % 27 <= simhash.RADIUS} == got
+    assert met < n * (n - 1) / 2 / 10
+
+
+@pytest.mark.parametrize("bits, errors", [(42, 8), (32, 6), (32, 5), (12, 2), (8, 0), (5, 6)])
+def test_no_errors_escape_the_masks(bits, errors):
+    rng = np.random.default_rng(5)
+    masks = simhash.masks(bits, errors)
+    for _ in range(300):
+        bad = np.bitwise_or.reduce(np.uint64(1) << rng.choice(bits, min(errors, bits), replace=False).astype(np.uint64)) if errors else np.uint64(0)
+        assert (masks & bad == 0).any()
+    assert simhash.masks(9, -1).size == 0
+
+
+def test_near_pairs_of_many_alike(spark):
+    rng = np.random.default_rng(9)
+    flips = np.packbits(np.arange(128) < rng.integers(0, 20, 700)[:, None], axis=1)
+    rng.permuted(np.unpackbits(flips, axis=1), axis=1, out=(bits := np.unpackbits(flips, axis=1)))
+    both = np.packbits(bits, axis=1).view(np.uint64)
+    hi, lo = both[:, 0], both[:, 1]
+    rows = [(i, 1 + i % 3, int(a), int(b)) for i, (a, b) in enumerate(zip(hi.view(np.int64), lo.view(np.int64)))]
+    far = np.bitwise_count(hi[:, None] ^ hi).astype(int) + np.bitwise_count(lo[:, None] ^ lo)
+    want = sorted((i, j, int(far[i, j])) for i in range(700) for j in range(i + 1, 700) if far[i, j] <= simhash.RADIUS)
+    prints = spark.createDataFrame(rows, "id long, n long, hi long, lo long").repartition(3)
+    for shard in (100, simhash.SHARD):
+        assert sorted((r.a, r.b, r.bits) for r in simhash.near_pairs(prints, shard=shard).collect()) == want
+    some = {(r.a, r.b) for r in simhash.near_pairs(prints, ratio=1.6).collect()}
+    assert some == {(i, j) for i, j, _ in want if max(1 + i % 3, 1 + j % 3) <= 1.6 * min(1 + i % 3, 1 + j % 3)}
+
+
 def test_short_texts_are_not_near():
     rng = random.Random(13)
     _, hi, lo = simhash.fingerprints_of(of([" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (2, 3, 5, 7) for _ in range(150)]))
