@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .kernel import U, mix, slices, texts
+from .kernel import U, mix, release, slices, texts
 from .ngrams import BYTES, Unit, codes, cut, discounts
 from .shared import map_blob, new_path, stash, write_blob
 
@@ -456,8 +456,12 @@ def train_models(rows: DataFrame, unit: Unit = BYTES, each: int = EACH, keep=Non
             g, c = g[order], c[order]
             at = firsts(g)
             g, c = g[at], np.add.reduceat(c, at)
-            return runs(g, c, shard_of(g >> bits * (n - 2), shards), n)
+            out = runs(g, c, shard_of(g >> bits * (n - 2), shards), n)
+            del key, at, g, c, order
+            release()
+            return out
 
+        release()
         for batch in batches:
             batch = batch if keep is None else keep(batch)
             for part in slices(batch, "text", FLUSH):
@@ -605,6 +609,7 @@ def scores(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text"
     """(doc_id, n_bytes, log_prob, perplexity) of every row: natural logs, perplexity a byte."""
 
     def score(batches):
+        release()
         run = Scorer(model)
         for batch in batches:
             for part in slices(batch, "text", SLICE):

@@ -18,7 +18,7 @@ import numpy as np
 from .kernel import P, U, texts, window_hash
 
 N = 5
-PIECES, CACHE = 4, 1 << 19
+PIECES, CACHE, BLOCK, WORDS = 4, 1 << 19, 1 << 20, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -60,6 +60,11 @@ class Known:
     def __init__(self):
         self.hash, self.at, self.size, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hash):
+            return np.zeros(len(hashes), bool)
+        return self.hash[np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)] == hashes
+
     def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         at = len(self.ids) + np.cumsum(size) - size
@@ -83,18 +88,30 @@ class Pieces(Unit):
 
     def symbols(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Pieces and offsets into them; each distinct word is encoded once, and the last ones of the task are kept."""
-        sp, byte, known = _processor(self.proto)
         data, offs, _ = texts(column)
+        got, size, i = [], [], 0
+        while i < len(offs) - 1:
+            j = max(i + 1, int(np.searchsorted(offs, offs[i] + BLOCK, "right")) - 1)
+            out, at = self._block(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            got.append(out)
+            size.append(np.diff(at))
+            i = j
+        return np.concatenate(got or [np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum(np.concatenate(size))]) if size else np.zeros(1, np.int64)
+
+    def _block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sp, byte, known = _processor(self.proto)
         start, end, hashes = spans(data, offs)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        new = np.flatnonzero(~np.isin(distinct, known.hash, assume_unique=True))
+        new = np.flatnonzero(~known.has(distinct))
         raw = data.tobytes()
-        words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]
-        ids = sp.encode(words, num_threads=1) if words else []
-        for i, (x, got) in enumerate(zip(words, ids)):
-            if x == "\n" or not got:
-                ids[i] = [byte[b] for b in (x.encode() or b" ")]
-        known.add(distinct[new], ids)
+        for i in range(0, len(new), WORDS):
+            at = first[new[i : i + WORDS]]
+            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist())]
+            ids = sp.encode(words, num_threads=1)
+            for j, (x, got) in enumerate(zip(words, ids)):
+                if x == "\n" or not got:
+                    ids[j] = [byte[b] for b in (x.encode() or b" ")]
+            known.add(distinct[new[i : i + WORDS]], ids)
         here = np.searchsorted(known.hash, distinct)
         each = known.size[here][which]
         place = np.append(0, np.cumsum(each))

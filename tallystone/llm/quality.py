@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import eftrie
-from .kernel import slices, texts
+from .kernel import release, slices, texts
 from .ngrams import BYTES, Unit
 from .shared import fresh, in_lists, sorted_lists, stash
 
@@ -65,6 +65,7 @@ def scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     model = eftrie.train_models(docs.select("id", "model", "text").where("id is not null"), unit, keep=only, pooled=True, total=sum(r.n for r in sizes))
 
     def score(batches):
+        release()
         run = eftrie.Scorer(model)
         for batch in batches:
             for part in slices(batch, "text", eftrie.SLICE // 2):

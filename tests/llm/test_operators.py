@@ -320,6 +320,24 @@ def test_model_edges(spark):
     assert eftrie.scores(empty(spark), m).count() == 0
 
 
+def test_pieces_are_read_in_small_blocks(monkeypatch):
+    """A slice of text isn't hashed at once, whatever its size; its pieces are those of its texts."""
+    unit = ngrams.Pieces(proto=model_proto())
+    rng = random.Random(4)
+    rows = [None, "", *(words(rng, rng.randrange(0, 60), 5000) for _ in range(80)), "é\n\n x", "y" * 3000, ""]
+    want = [unit.symbols(pa.array([x], pa.string()))[0].tolist() for x in rows]
+    most = []
+    real = ngrams.spans
+    monkeypatch.setattr(ngrams, "spans", lambda data, offs: most.append(len(data)) or real(data, offs))
+    monkeypatch.setattr(ngrams, "BLOCK", 500, raising=False)
+    monkeypatch.setattr(ngrams, "WORDS", 7, raising=False)
+    ngrams._processor.cache_clear()
+    got, at = unit.symbols(pa.array(rows, pa.string()))
+    assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == want and len(at) == len(rows) + 1
+    assert sorted(most)[-2] <= 500 and max(most) == 3000
+    assert [len(x) for x in unit.symbols(pa.array([], pa.string()))] == [0, 1]
+
+
 def test_quality(spark):
     rng = random.Random(5)
     good = [(i, " ".join(rng.choice(["the", "cat", "sat", "and", "on", "mat", "with"]) for _ in range(60))) for i in range(80)]
