@@ -144,6 +144,7 @@ class EliasFano:
     def __init__(self, n: int, low: int, packed: np.ndarray, high: np.ndarray, before: np.ndarray):
         self.n, self.low, self.packed, self.high, self.before = n, low, packed, high, before
         self.gaps = self.most = None
+        self.octets = np.ndarray(max(0, packed.nbytes - 7), np.int64, packed, strides=(1,))  # 8 bytes from each byte on
 
     def _select(self, i: np.ndarray, zeros: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the ones (or zeros) numbered i: their words' numbers, the words, and the places in them (by sums over the word's bytes)."""
@@ -161,12 +162,14 @@ class EliasFano:
     def _low(self, i: np.ndarray, top: np.ndarray) -> np.ndarray:
         if not self.low:
             return top
+        return top << self.low | self._rest(i)
+
+    def _rest(self, i: np.ndarray) -> np.ndarray:
+        """Low bits of values i, read from the byte in which they begin: `build` gives them up to 57."""
         at = i * self.low
-        word, bit = at >> 6, (at & 63).astype(U)
-        x = self.packed[word] >> bit
-        over = np.flatnonzero(bit + U(self.low) > 64)
-        x[over] |= self.packed[word[over] + 1] << (U(64) - bit[over])
-        return top << self.low | (x & U((1 << self.low) - 1)).astype(np.int64)
+        x = self.octets[at >> 3] >> (at & 7)
+        x &= (1 << self.low) - 1
+        return x
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         word, _, place = self._select(i)
@@ -205,23 +208,28 @@ class EliasFano:
         """Of each range lo:hi of rising values, the place of v, -1 if it isn't there: the successor by low bits among the values that share v's high bits."""
         a, b = self.bucket(np.minimum(v, self.top))
         lo, stop = np.maximum(lo, a), np.where(v > self.top, 0, np.minimum(hi, b))
-        want, out, end = v & ((1 << self.low) - 1), np.full(len(lo), -1), stop.copy()
-        zero = np.zeros(len(lo), np.int64)
+        out = np.full(len(lo), -1)
+        if not self.low:  # nothing but high bits, so any value there is v
+            at = np.flatnonzero(lo < stop)
+            out[at] = lo[at]
+            return out
+        want, end = v & ((1 << self.low) - 1), stop.copy()
         at = np.flatnonzero(end - lo > WIDE)
         while len(at):  # long ones are halved
             mid = (lo[at] + end[at]) >> 1
-            less = self._low(mid, zero[: len(at)]) < want[at]
+            less = self._rest(mid) < want[at]
             lo[at[less]] = mid[less] + 1
             end[at[~less]] = mid[~less]
             at = at[lo[at] < end[at]]
         at = np.flatnonzero(lo < stop)
+        lo, stop, want = lo[at], stop[at], want[at]
         while len(at):  # mostly one value or two
-            x, i = self._low(lo[at], zero[: len(at)]), want[at]
-            same = x == i
-            out[at[same]] = lo[at[same]]
-            at = at[x < i]
-            lo[at] += 1
-            at = at[lo[at] < stop[at]]
+            x = self._rest(lo)
+            same = x == want
+            out[at[same]] = lo[same]
+            lo += 1
+            on = np.flatnonzero((x < want) & (lo < stop))
+            at, lo, stop, want = at[on], lo[on], stop[on], want[on]
         return out
 
     @property

@@ -320,6 +320,25 @@ def test_model_edges(spark):
     assert eftrie.scores(empty(spark), m).count() == 0
 
 
+@pytest.mark.parametrize("step", [1, 3, 200, 1 << 13, 1 << 40])
+def test_seek_against_search(step):
+    rng = np.random.default_rng(step % 97)
+    v = np.unique(rng.integers(0, 3000 * step, 9000 if step == 1 else 2000))
+    meta, arrays = eftrie.EliasFano.encode(v)
+    e = eftrie.EliasFano(**meta, packed=arrays[0], high=arrays[1], before=arrays[2])
+    assert (e.all() == v).all()
+    lo = np.sort(rng.integers(0, len(v), 4000))
+    hi = np.minimum(lo + rng.integers(0, 60, 4000), len(v))
+    want = np.where(rng.random(4000) < 0.6, v[np.minimum(lo + rng.integers(0, 60, 4000), len(v) - 1)], rng.integers(0, 3100 * step, 4000))
+    at = np.searchsorted(v, want)
+    there = (at >= lo) & (at < hi) & (v[np.minimum(at, len(v) - 1)] == want)
+    reads = []
+    real = e._rest
+    e._rest = lambda i: reads.append(len(i)) or real(i)
+    assert (e.seek(lo.copy(), hi, want) == np.where(there, at, -1)).all()
+    assert (e.low > 0) == (step > 1) == (len(reads) > 0)  # without low bits the high ones tell
+
+
 def test_pieces_are_read_in_small_blocks(monkeypatch):
     """A slice of text isn't hashed at once, whatever its size; its pieces are those of its texts."""
     unit = ngrams.Pieces(proto=model_proto())
