@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .kernel import signed, texts, word_batches, words
+from .kernel import SMALL, begin, signed, texts, word_batches, words
 from .shared import fresh
 
 K, SHARE, LEAST, ENOUGH, FLOOR, MOST = 3, 0.5, 0.4, 13, 8, 1_000_000
@@ -153,8 +153,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
         known = np.unique(group.hash)
 
         def count(batches, known=known):
+            begin()
             total = np.zeros(len(known), np.int64)
-            for _, w in word_batches(batches):
+            for _, w in word_batches(batches, most=SMALL):
                 h = w.hash
                 at = np.searchsorted(known, h)
                 at = at[known[np.minimum(at, len(known) - 1)] == h] if len(known) else at[:0]
@@ -166,6 +167,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
         seeds = group.seeds({r.word: r.n for r in rows}, share, enough)
 
         def search(batches, seeds=seeds):
+            begin()
             lengths = np.diff(seeds.off)
             for part, w in word_batches(batches):
                 doc, item, score, a, b = leaks_in(w, seeds, least, floor, enough)

@@ -10,14 +10,13 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 P, Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-CHUNK = 2 << 20
+CHUNK, SMALL = 2 << 20, 1 << 19  # bytes of text at once; of steps that hold some hundred bytes for each, the less
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -27,7 +26,10 @@ _WIDE = np.zeros(256, bool)
 _WIDE[0xE3:0xEE] = True
 
 
-@lru_cache(4)
+#: Of each base, the longest table that was asked for.
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(base, -1, 1 << 64)
     out = []
@@ -44,8 +46,11 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 (sizes are rounded up, so that few are made)."""
-    return _powers(base, 1 << max(16, (size - 1).bit_length()))
+    """base**i and its inverse modulo 2**64, as many or more (sizes are rounded up, so that few are made)."""
+    if base not in _POWERS or len(_POWERS[base][0]) < size:
+        _POWERS.pop(base, None)
+        _POWERS[base] = _powers(base, 1 << max(16, (size - 1).bit_length()))
+    return _POWERS[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -160,6 +165,17 @@ def release() -> None:
         trim(0)
 
 
+#: What empties the caches that other modules keep from task to task.
+CACHES: list = [_POWERS.clear]
+
+
+def begin() -> None:
+    """At a task's start, where an earlier stage's caches are of no use: drops them, and gives back what is free."""
+    for clear in CACHES:
+        clear()
+    release()
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with up to `most` bytes of text; a longer text is a run by itself."""
     offs = texts(batch.column(column))[1]

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from .kernel import P, U, mix, powers, slices, texts, window_hash
+from .kernel import P, U, begin, mix, powers, slices, texts, window_hash
 
 SPACE = 0x2581
 SLICE = 1 << 19
@@ -397,6 +397,7 @@ def encode(docs: DataFrame, proto: bytes, k: int, id: str = "doc_id", text: str
     """
 
     def run(batches):
+        begin()
         v = vocabulary(proto, weights, alpha)
         for batch in batches:
             for part in slices(batch, "text", SLICE):

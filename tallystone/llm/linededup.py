@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .kernel import Hasher, P, U, folded, mix, signed, slices, texts
+from .kernel import SMALL, Hasher, P, U, begin, folded, mix, signed, slices, texts
 from .shared import fresh, in_lists, sorted_lists, stash
 
 TAU, SHORTEST = 2, 24
@@ -154,14 +154,16 @@ def _search(docs: DataFrame, id: str, text: str, tau: int, shortest: int, least:
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
 
     def probes(batches):
+        begin()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL):
                 lines = Lines(*texts(part.column("text"))[:2], shortest)
                 if len(lines.key):
                     keys, names = signatures(lines, lines.distinct(), tau)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(signed(names))], ["key", "line"])
 
     def meet(batches):
+        begin()
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
         if not got:
             return
@@ -200,8 +202,9 @@ def _search(docs: DataFrame, id: str, text: str, tau: int, shortest: int, least:
     wanted = sorted_lists(candidates.select(F.col("a").alias("v")).union(candidates.select(F.col("b").alias("v"))).distinct(), "wanted")
 
     def fetch(batches):
+        begin()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL):
                 lines = Lines(*texts(part.column("text"))[:2], least)
                 at = lines.distinct()
                 at = at[in_lists(wanted, signed(lines.key[at]))]
@@ -215,6 +218,7 @@ def _search(docs: DataFrame, id: str, text: str, tau: int, shortest: int, least:
     pairs = candidates.join(lines.select(F.col("v").alias("a"), F.col("chars").alias("x")), "a").join(lines.select(F.col("v").alias("b"), F.col("chars").alias("y")), "b")
 
     def verify(batches):
+        begin()
         for batch in batches:
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
             la, lb = (np.array([len(v) // 4 for v in c], np.int64) for c in (x, y))

@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 
-from .kernel import P, U, texts, window_hash
+from .kernel import CACHES, P, U, texts, window_hash
 
 N = 5
 PIECES, CACHE, BLOCK, WORDS = 4, 1 << 19, 1 << 20, 1 << 15
@@ -54,6 +54,9 @@ def _processor(proto: bytes) -> tuple:
     return sp, byte, Known()
 
 
+CACHES.append(_processor.cache_clear)
+
+
 class Known:
     """Words by hash, sorted, and where their pieces are in one array."""
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .kernel import Words, mix, signed, word_batches
+from .kernel import SMALL, Words, begin, mix, signed, word_batches
 from .shared import fresh, map_blob, new_path, stash, write_blob
 
 U = np.uint64
@@ -65,7 +65,8 @@ def fingerprints_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _prints(batches):
-    for rows, w in word_batches(batches):
+    begin()
+    for rows, w in word_batches(batches, most=SMALL):
         docs, hi, lo = fingerprints_of(w)
         yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(docs)), pa.array(np.diff(w.off)[docs]), pa.array(signed(hi)), pa.array(signed(lo))], ["id", "n", "hi", "lo"])
 
@@ -234,6 +235,7 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, ratio: float = RATIO, sh
         return n, id
 
     def within(batches):
+        begin()
         whole = None
         for k, v, turn in (every[i] for b in batches for i in b.column(0).to_pylist()):
             at, bits, errors = parts[k]

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -444,6 +445,30 @@ def test_lines_edges(spark):
     assert linededup.repeated_lines(empty(spark)).count() == 0 and linededup.remove_lines(empty(spark)).count() == 0
 
 
+def test_memory_of_line_probes(spark):
+    """A task holds some 30 MB, and nothing of an earlier stage's words and powers."""
+    class Docs:
+        def select(self, *_):
+            return self
+
+        where = select
+
+        def mapInArrow(self, f, _):
+            raise StopIteration(f)
+
+    with pytest.raises(StopIteration) as stop:
+        linededup.near_lines(Docs())
+    rng = random.Random(8)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(400)), "text": ["\n".join(words(rng, 12, 10**6) for _ in range(90)) for _ in range(400)]})
+    kernel.powers(kernel.P, 1 << 22), ngrams._processor(model_proto())
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in stop.value.args[0]([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 400 * 90 and peak < 64 << 20
+    assert len(kernel.powers(kernel.P, 9)[0]) < 1 << 22 and not ngrams._processor.cache_info().currsize
+
+
 def test_short_lines_that_repeat(spark, tmp_path):
     x = "a line that is long enough to count"
     rows = [(1, f"And ornd.\n{x}\n\né"), (2, f"own of 2\n AND  ornd. \n\nx{x}\nÉ"), (3, "And ornd"), (4, "ornd"), (None, "And ornd."), (5, "And ornd.\n and ornd.")]
