@@ -41,7 +41,7 @@ from .kernel import U, mix, release, slices, texts
 from .ngrams import BYTES, Unit, codes, cut, discounts
 from .shared import map_blob, new_path, stash, write_blob
 
-CODES, EACH, FLUSH, SLICE, BLOCK, WIDE = 254, 8 << 20, 3 << 20, 4 << 20, 1 << 15, 4
+CODES, EACH, FLUSH, SLICE, BLOCK = 254, 8 << 20, 3 << 20, 8 << 20, 1 << 14
 
 
 # ---- packed runs
@@ -95,7 +95,7 @@ def merged(rows: list, level: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     g = np.concatenate([np.cumsum(unpack(r[3], r[2])) for r in some])
     c = np.concatenate([unpack(r[4], r[2]) for r in some])
-    order = np.argsort(g, kind="stable")  # of runs that are sorted already
+    order = np.argsort(g)
     g, c = g[order], c[order]
     at = firsts(g)
     return g[at], np.add.reduceat(c, at) if len(at) else c
@@ -205,31 +205,31 @@ class EliasFano:
         return start, np.minimum(end, self.n)
 
     def seek(self, lo: np.ndarray, hi: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Of each range lo:hi of rising values, the place of v, -1 if it isn't there: the successor by low bits among the values that share v's high bits."""
+        """Of each range lo:hi of rising values, the place of v, -1 if it isn't there: the last value not above v by low bits, among those that share v's high bits."""
         a, b = self.bucket(np.minimum(v, self.top))
-        lo, stop = np.maximum(lo, a), np.where(v > self.top, 0, np.minimum(hi, b))
-        out = np.full(len(lo), -1)
+        lo = np.maximum(lo, a)
+        size = np.where(v > self.top, 0, np.maximum(np.minimum(hi, b) - lo, 0))
         if not self.low:  # nothing but high bits, so any value there is v
-            at = np.flatnonzero(lo < stop)
-            out[at] = lo[at]
-            return out
-        want, end = v & ((1 << self.low) - 1), stop.copy()
-        at = np.flatnonzero(end - lo > WIDE)
-        while len(at):  # long ones are halved
-            mid = (lo[at] + end[at]) >> 1
-            less = self._rest(mid) < want[at]
-            lo[at[less]] = mid[less] + 1
-            end[at[~less]] = mid[~less]
-            at = at[lo[at] < end[at]]
-        at = np.flatnonzero(lo < stop)
-        lo, stop, want = lo[at], stop[at], want[at]
-        while len(at):  # mostly one value or two
-            x = self._rest(lo)
-            same = x == want
-            out[at[same]] = lo[same]
-            lo += 1
-            on = np.flatnonzero((x < want) & (lo < stop))
-            at, lo, stop, want = at[on], lo[on], stop[on], want[on]
+            return np.where(size > 0, lo, -1)
+        out = np.full(len(lo), -1)
+        short = np.minimum(size, 65535).astype(np.uint16)
+        order = np.argsort(short, kind="stable")  # by size, so that those still to be halved stand at the end
+        short = short[order]
+        order = order[np.searchsorted(short, 1) :]
+        short = short[len(short) - len(order) :]
+        if len(order):
+            at, want = lo[order], v[order] & ((1 << self.low) - 1)
+            last = at + size[order] - 1
+            step = 1 << max(int(size.max()) - 1, 0).bit_length() >> 1
+            while step:
+                m = int(np.searchsorted(short, min(step, 65534), "right"))
+                next = at[m:] + step
+                some = next <= last[m:]
+                some &= self._rest(np.minimum(next, last[m:])) <= want[m:]
+                at[m:] += some * step
+                step >>= 1
+            there = self._rest(at) == want
+            out[order[there]] = at[there]
         return out
 
     @property
@@ -315,26 +315,25 @@ class Trie:
         node[value != first[start]] = -1
         return np.repeat(node, np.diff(np.append(start, len(first))))
 
-    def children(self, level: int, above: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Places in a level (2 or more) of the symbols in the children's ranges of nodes above, -1 for none."""
-        out = np.full(len(above), -1)
-        at = np.flatnonzero(above >= 0)
-        lo, hi = self.pointers[level - 2].pair(above[at])
-        some = lo < hi
-        if not some.all():
-            at, lo, hi = at[some], lo[some], hi[some]
+    def children(self, level: int, node: np.ndarray, size: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Places in a level (2 or more) of symbols in the children's ranges of nodes, -1 for none: the next `size` symbols are a node's, so its range is read once."""
         values = self.last[level - 1]
-        base, value = values.pair(np.maximum(lo - 1, 0)) if values.n > 1 else (values[lo], values[lo])
+        if not values.n:
+            return np.full(len(symbol), -1)
+        lo, hi = self.pointers[level - 2].pair(np.maximum(node, 0))
+        hi[node < 0] = 0
+        at = np.clip(lo, 1, max(values.n - 1, 1)) - 1
+        base, value = values.pair(at) if values.n > 1 else (values[at], values[at])
         zero = np.flatnonzero(lo == 0)
         value[zero], base[zero] = base[zero], 0
-        want = base + symbol[at]
-        there = value == want  # the first child
-        out[at[there]] = lo[there]
-        more = np.flatnonzero((value < want) & (hi - lo > 1))
+        value -= base
+        value[lo >= hi] = -1
+        first = np.repeat(value, size)  # the first child's symbol
+        out = np.where(first == symbol, np.repeat(lo, size), -1)
+        more = np.flatnonzero((first < symbol) & np.repeat(hi - lo > 1, size))
         if len(more):
-            place = values.seek(lo[more] + 1, hi[more], want[more])
-            there = place >= 0
-            out[at[more[there]]] = place[there]
+            group = np.repeat(np.arange(len(node)), size)[more]
+            out[more] = values.seek(lo[group] + 1, hi[group], base[group] + symbol[more])
         return out
 
     def value(self, level: int, what: int, nodes: np.ndarray, none: float) -> np.ndarray:
@@ -386,33 +385,46 @@ class Model:
         A gram's context is a gram of the level before, so each level searches its distinct grams once, from the places found above.
         """
         n, bits, r = self.unit.n, self.unit.bits, self._root()
-        levels = {n: keys}
-        for k in range(n - 1, 0, -1):
-            g = levels[k + 1]
-            both = np.sort(np.concatenate([g[firsts(g >> bits)] >> bits, cut(g, k, k + 1, bits)]))
-            levels[k] = both[firsts(both)]
+        levels, above, suffix = {n: keys}, {}, {}  # the places in the level before of a level's distinct contexts, and of its grams without their first symbols
+        for k in range(n, 1, -1):
+            g = levels[k]
+            context, short = g[firsts(g >> bits)] >> bits, cut(g, k - 1, k, bits)
+            order = np.argsort(short)
+            short = short[order]
+            at = firsts(short)
+            own = short[at]
+            place = np.searchsorted(own, context)
+            lost = context[own[np.minimum(place, len(own) - 1)] != context] if len(own) else context  # those that only a text's start has
+            above[k] = (place + np.searchsorted(lost, context)).astype(np.int32)
+            suffix[k] = np.empty(len(g), np.int32)
+            suffix[k][order] = np.repeat(np.arange(len(own)) + np.searchsorted(lost, own), np.diff(at, append=len(g)))
+            levels[k - 1] = np.sort(np.concatenate([own, lost]))
+            del context, short, order, at, own, place
         g = levels[1]
         p = find(r["symbols"], r["p1"], g, 0.0) + find(r["models"], r["w0"], g >> bits, 1.0) / self.unit.size
         node = np.zeros(0, np.int64)
         for k in range(2, n + 1):
-            g, context = levels[k], levels[k] >> bits
-            start = firsts(context)
-            above = np.repeat(np.searchsorted(levels[k - 1], context[start]), np.diff(np.append(start, len(g))))
-            own, weight = np.zeros(len(g)), find(r["contexts"], r["w1"], context, 1.0) if k == 2 else np.ones(len(g))
+            g = levels.pop(k)
+            own, weight = np.zeros(len(g)), find(r["contexts"], r["w1"], g >> bits, 1.0) if k == 2 else np.ones(len(g))
             below, node = node, np.full(len(g), -1)
-            shard = shard_of(g >> bits * (k - 2), self.shards)
+            start = firsts(g >> bits) if k > 2 else np.arange(len(g))  # a context's grams are in one shard, if it has two symbols
+            size = np.diff(start, append=len(g))
+            shard = shard_of(g[start] >> bits * (k - 2), self.shards)
             order = np.argsort(shard, kind="stable")
             at = firsts(shard[order])
             for i, j in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
                 if (trie := self._trie(int(shard[order[i]]))) is not None:
                     for i in range(i, j, BLOCK):
-                        rows = order[i : min(i + BLOCK, j)]
-                        up = trie.roots(context[rows]) if k == 2 else below[above[rows]]
-                        node[rows] = here = trie.children(k, up, g[rows] & ((1 << bits) - 1))
+                        some = order[i : min(i + BLOCK, j)]
+                        each = size[some]
+                        end = np.cumsum(each)
+                        rows = np.repeat(start[some] - end + each, each) + np.arange(end[-1])
+                        up = below[above[k][some]] if k > 2 else trie.roots(g[some] >> bits)
+                        node[rows] = here = trie.children(k, up, each, g[rows] & ((1 << bits) - 1))
                         own[rows] = trie.value(k, 0, here, 0.0)
                         if k > 2:
-                            weight[rows] = trie.value(k - 1, 1, up, 1.0)
-            p = own + weight * p[np.searchsorted(levels[k - 1], cut(g, k - 1, k, bits))]
+                            weight[rows] = np.repeat(trie.value(k - 1, 1, up, 1.0), each)
+            p = own + weight * p[suffix.pop(k)]
         return np.log(p)
 
     def _trie(self, s: int) -> Trie | None:
@@ -452,20 +464,17 @@ def train_models(rows: DataFrame, unit: Unit = BYTES, each: int = EACH, keep=Non
         held: list = []
 
         def flush():
-            key = np.sort(np.concatenate(held))
+            key = np.concatenate(held)
             held.clear()
-            at = firsts(key)
-            g, c = key[at], np.diff(np.append(at, len(key)))
             if pooled:
-                low = g & ((1 << bits * n) - 1)
-                g, c = np.concatenate([low, g[g > low]]), np.concatenate([c, c[g > low]])
-            g = backwards(g, n, bits)
-            order = np.argsort(g)
-            g, c = g[order], c[order]
-            at = firsts(g)
-            g, c = g[at], np.add.reduceat(c, at)
+                low = key & ((1 << bits * n) - 1)
+                key = np.concatenate([low, key[key > low]])
+            key = backwards(key, n, bits)
+            key.sort()
+            at = firsts(key)
+            g, c = key[at], np.diff(at, append=len(key))
             out = runs(g, c, shard_of(g >> bits * (n - 2), shards), n)
-            del key, at, g, c, order
+            del key, at, g, c
             release()
             return out
 
@@ -603,9 +612,12 @@ class Scorer:
         unit = self.model.unit
         key = codes(data, offs, unit) | np.repeat(number.astype(np.int64), np.diff(offs)) << unit.bits * unit.n
         order = np.argsort(key)
-        at = firsts(key[order])
-        p = np.empty(len(key))
-        p[order] = np.repeat(self.model.logp(key[order[at]]), np.diff(np.append(at, len(key))))
+        key = key[order]
+        at = firsts(key)
+        key, size = key[at], np.diff(at, append=len(key))
+        found = self.model.logp(key)
+        p = np.empty(len(order))
+        p[order] = np.repeat(found, size)
         out = []
         for x in (p, p * p):
             total = np.concatenate([[0], np.cumsum(x)])

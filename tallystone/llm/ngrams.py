@@ -104,7 +104,11 @@ class Pieces(Unit):
     def _block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sp, byte, known = _processor(self.proto)
         start, end, hashes = spans(data, offs)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(hashes)  # np.unique sorts stably, which takes three times as long
+        hashes = hashes[order]
+        at = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
+        distinct, first, which = hashes[at], order[at], np.empty(len(hashes), np.int64)
+        which[order] = np.repeat(np.arange(len(at)), np.diff(at, append=len(hashes)))
         new = np.flatnonzero(~known.has(distinct))
         raw = data.tobytes()
         for i in range(0, len(new), WORDS):

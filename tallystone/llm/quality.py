@@ -68,7 +68,7 @@ def scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
         release()
         run = eftrie.Scorer(model)
         for batch in batches:
-            for part in slices(batch, "text", eftrie.SLICE // 2):
+            for part in slices(batch, "text", eftrie.SLICE // 4):
                 size = np.diff(texts(part.column("text"))[1])
                 data, offs = unit.symbols(part.column("text"))
                 total, square = run(data, offs, part.column("model").to_numpy())

@@ -340,6 +340,22 @@ def test_seek_against_search(step):
     assert (e.low > 0) == (step > 1) == (len(reads) > 0)  # without low bits the high ones tell
 
 
+def test_ranges_are_read_once_a_context(spark, monkeypatch):
+    """However many symbols follow a context, the places of its children are read once a call; what is found is the same."""
+    rng = random.Random(12)
+    df = spark.createDataFrame([(i, "".join(rng.choice("abcdefgh") for _ in range(4000))) for i in range(3)], "doc_id long, text string")
+    m = eftrie.train(df, unit=ngrams.Unit(n=3), each=2000)
+    data, offs, _ = kernel.texts(pa.array(["".join(rng.choice("abcdefghi") for _ in range(3000)), "", "ab"]))
+    keys = np.unique(ngrams.codes(data, offs, m.unit))
+    alone = np.array([m.logp(keys[i : i + 1])[0] for i in range(len(keys))])
+    read = []
+    real = eftrie.EliasFano.pair
+    monkeypatch.setattr(eftrie.EliasFano, "pair", lambda self, i: read.append(len(i)) or real(self, i))
+    assert np.abs(m.logp(keys) - alone).max() < 1e-12
+    two = np.unique(np.concatenate([keys >> 8, ngrams.cut(keys, 2, 3)]))
+    assert len(keys) > 5 * len(two) and sum(read) <= 2 * (len(two) + len(two))
+
+
 def test_pieces_are_read_in_small_blocks(monkeypatch):
     """A slice of text isn't hashed at once, whatever its size; its pieces are those of its texts."""
     unit = ngrams.Pieces(proto=model_proto())
