@@ -345,3 +345,39 @@ def test_drain_leaves_decided(spark):
     rows = [("proposal_deferred", "a", 1), ("proposal_deferred", "b", 2), ("proposal_deferred", "c", 3), ("proposal_opened", "a", 4), ("proposal_resolved", "b", 5)]
     df = spark.createDataFrame(rows, "type string, proposal_id string, pos long")
     assert [r.proposal_id for r in projections.to_drain(df, 9).collect()] == ["c"]
+
+
+def test_small_files_are_read_many_a_task(spark, cfg):
+    for i in range(60):
+        session(cfg, f"s[{i}]", [f"turn {i}"])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        files = corpus.list_files(spark, corpus.default_sources(cfg))
+        assert files.rdd.getNumPartitions() <= 4 and files.count() == 60
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.session_id for r in corpus.sessions(spark, cfg).where("size(turns) = 1 and not archived").collect()} == {f"s[{i}]" for i in range(60)}
+
+
+def test_extraction_writes_a_batch_at_once_and_takes_its_work_in_order(spark, cfg, monkeypatch):
+    cfg.episodes_per_batch, cfg.max_episodes_per_run = 2, 4
+    for i in range(6):
+        session(cfg, f"s{i}", [f"turn {i}"])
+    monkeypatch.setattr(ingest, "A_WRITE", 4)
+    assert ingest.run(spark, cfg) == 0 and len(events(spark, cfg, "episode_added")) == 6
+    monkeypatch.setattr(extract, "FEW", 1)
+    writes, append = [], log.append
+    monkeypatch.setattr(log, "append", lambda folder, *e: writes.append([x["type"] for x in e]) or append(folder, *e))
+    asked = []
+
+    def model(prompt, payload):
+        ids = [x.split(": ")[1] for x in payload.splitlines() if x.startswith("EPISODE_ID: ")]
+        asked.append(ids)
+        return {"episodes": [{"episode_id": i, "entities": [{"name": "Router", "type": "thing", "confidence": "high"}]} for i in ids]}
+
+    extract.run(spark, cfg, model, skip_commitments=True)
+    seen, done = ["entity_candidate_seen"], ["entity_scanned"]
+    assert [[i.split("_")[1] for i in ids] for ids in asked] == [["s0", "s1"], ["s2", "s3"]]
+    assert writes == [seen * 2 + done * 2] * 2 + [["entity_proposed", "entity_confirmed"]]
+    extract.run(spark, cfg, model, skip_commitments=True)
+    assert [i.split("_")[1] for i in asked[2]] == ["s4", "s5"] and len(asked) == 3
