@@ -142,6 +142,32 @@ def tokens_of(text: str) -> list[str]:
     return keep.split()
 
 
+#: All but digits and small letters to spaces.
+_ASCII_WORDS = "".join(c if c.isdecimal() or c.islower() else " " for c in map(chr, range(128)))
+_RUNS = re.compile(r"[0-9a-z]+|[^\x00-\x7F]+")
+_kept: dict[str, str] = {}
+
+
+def words_of(lower: str) -> list[str]:
+    """tokens() of one text that is in lower case already."""
+    if lower.isascii():
+        return lower.translate(_ASCII_WORDS).split()
+    out = []
+    for run in _RUNS.findall(lower):
+        if run[0].isascii():
+            out.append(run)
+            continue
+        for i in range(max(len(run) - 1, 1)):
+            pair = run[i : i + 2]
+            if (kept := _kept.get(pair)) is None:
+                if len(_kept) > 200_000:
+                    _kept.clear()
+                kept = _kept[pair] = "".join(c if _is_letter(c) else " " for c in pair).strip()
+            if kept:
+                out.append(kept)
+    return out
+
+
 def _is_letter(c: str) -> bool:
     return unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co"
 

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
-from tallystone.functions.text import CHUNK, FOLD, rstrip, split_long, squeeze, strip
+from tallystone.functions.text import CHUNK, FOLD, OVERLAP, rstrip, split_long, squeeze, strip
 
 PIECE = "array<struct<section:string,body:string>>"
-HEADING = r"(?md)(?=^#{1,4} .+$)"
+HEADING = re.compile("(?m)(?=^#{1,4} .+$)")
+#: Unicode's white space, as text.strip() takes it; str.strip() by itself takes four control characters more.
+BLANK = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def fold(pieces: Column) -> Column:
@@ -34,10 +38,34 @@ def _pieces(section: Column, text: Column) -> Column:
     return F.transform(split_long(text), lambda b: F.struct(section.alias("section"), b.alias("body")))
 
 
-def markdown_chunks(text: Column) -> Column:
+def markdown_pieces(text: str) -> list[tuple[str, str]]:
+    """(section, body) of a note's chunks: cut at headings and into windows, then folded as fold() does."""
+    out: list[tuple[str, str]] = []
+    for part in HEADING.split(text) if "#" in text else (text,):
+        title = re.match("#{1,4} .+", part)
+        section = title[0].lstrip("# ").strip(BLANK) if title else ""
+        for at in range(0, max(len(part) - OVERLAP, 1), CHUNK - OVERLAP):
+            body = part[at : at + CHUNK]
+            bare = body.strip(BLANK)
+            if bare and len(bare) < FOLD and out:
+                out[-1] = (out[-1][0], f"{out[-1][1].rstrip(BLANK)}\n{bare}")
+            elif bare:
+                out.append((section, body))
+    return out
+
+
+@F.arrow_udf(ArrayType(StructType().add("section", StringType()).add("body", StringType())))
+def markdown_chunks(text: pa.Array) -> pa.Array:
     """At headings of levels 1 to 4; what stands before the first has no section."""
-    title = lambda s: F.when(s.rlike(r"(?d)\A#{1,4} .+"), strip(F.regexp_replace(F.substring_index(s, "\n", 1), r"\A[# ]+", ""))).otherwise("")
-    return F.when(text.isNotNull(), fold(F.flatten(F.transform(F.split(text, HEADING), lambda s: _pieces(title(s), s)))))
+    offsets, sections, bodies = [], [], []
+    for x in text:
+        x = x.as_py()
+        offsets.append(None if x is None else len(bodies))
+        for section, body in () if x is None else markdown_pieces(x):
+            sections.append(section)
+            bodies.append(body)
+    pieces = pa.StructArray.from_arrays([pa.array(sections, pa.string()), pa.array(bodies, pa.string())], ["section", "body"])
+    return pa.ListArray.from_arrays(pa.array([*offsets, len(bodies)], pa.int32()), pieces)
 
 
 def session_chunks(turns: Column) -> Column:

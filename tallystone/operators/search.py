@@ -117,12 +117,18 @@ def weighted(found: DataFrame, weights: dict[str, float], recency_days: float |
     return found.withColumn("score", F.round(score, 3))
 
 
-def search(chunks: DataFrame, query: Query, top_k: int = 5, budget: int | None = None, min_score: float | None = None, min_ratio: float = 0.35, kinds: list[str] | None = None, min_coverage: float = 0.0, weights: dict[str, float] | None = None, recency_days: float | None = None, now: float | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """Hits in order: KEEP, score, coverage, rank. The candidates kept from BM25 bound everything after it."""
+def search(chunks: DataFrame, query: Query, top_k: int = 5, budget: int | None = None, min_score: float | None = None, min_ratio: float = 0.35, kinds: list[str] | None = None, min_coverage: float = 0.0, weights: dict[str, float] | None = None, recency_days: float | None = None, now: float | None = None, stats: DataFrame | None = None, bodies: DataFrame | None = None) -> DataFrame:
+    """Hits in order: KEEP, score, coverage, rank. The candidates kept from BM25 bound everything after it.
+
+    bodies: where the rest of KEEP stands, if chunks has only counts, path, seq and kind; it is looked up for the candidates.
+    """
     p = query.phrases
     if not p:
-        return chunks.select(*KEEP).withColumns({"score": F.lit(0.0), "coverage": F.lit(0.0), "rank": F.lit(0)}).limit(0)
-    found = weighted(ranked(chunks, query, kinds, max(20 * top_k, 200), stats), KIND_WEIGHTS if weights is None else weights, recency_days, now)
+        return (chunks if bodies is None else bodies).select(*KEEP).withColumns({"score": F.lit(0.0), "coverage": F.lit(0.0), "rank": F.lit(0)}).limit(0)
+    found = ranked(chunks, query, kinds, max(20 * top_k, 200), stats)
+    if bodies is not None:
+        found = bodies.join(F.broadcast(found.drop("kind")), ["path", "seq"])  # a few hundred rows
+    found = weighted(found, KIND_WEIGHTS if weights is None else weights, recency_days, now)
     first = [F.desc("score"), F.desc(F.round("bm25", 9)), F.asc("path"), F.asc("seq")]
     best = F.max("score").over(Window.partitionBy(F.lit(0)))
     gated = found.withColumn("best", best).where(F.col("score") >= F.col("best") * min_ratio)

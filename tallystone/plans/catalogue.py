@@ -75,8 +75,13 @@ def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     """chunks, postings and totals of the notes' index, which is built by the first query of a session that needs it."""
     folder, new = scratch(spark, "index", d)
     if new or not (folder / "made" / "stats").exists():
-        index.write(note_chunks(spark, d), f"{folder}/made")
-    return tuple(spark.read.parquet(f"{folder}/made/{x}") for x in ("chunks", "postings", "stats"))
+        index.write(note_chunks(spark, d), f"{folder}/made", repeated(spark, d))
+    return index.tables(spark, f"{folder}/made")
+
+
+def repeated(spark: SparkSession, d: str) -> bool:
+    """Whether several documents have one number, and so one path."""
+    return not t(spark, d, "documents").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
 # ---- adapters, each with its SQL
@@ -412,7 +417,7 @@ def split_query_terms(spark, d):
 
 @query(f"WITH {FREQ} SELECT n, round(avgdl, 6) AS avgdl, n0, n1, n2, round(ln((n + 1) / (n1 + 1)), 6) AS idf1 FROM s")
 def corpus_stats_df_idf(spark, d):
-    s = index.matches(*indexed(spark, d), search.Query(TERMS).phrases)[1]
+    s = index.matches(*indexed(spark, d)[1:], search.Query(TERMS).phrases)[1]
     return s.select("n", F.round("avgdl", 6).alias("avgdl"), "n0", "n1", "n2", F.round(F.log((F.col("n") + 1) / (F.col("n1") + 1)), 6).alias("idf1"))
 
 
@@ -423,13 +428,13 @@ def phrase_match(spark, d):
 
 @query(f"WITH {WORDS} SELECT path, CAST(seq AS INT) AS seq, x AS term, count(*) AS f FROM (SELECT path, seq, unnest(words) AS x FROM w) GROUP BY ALL")
 def index_postings(spark, d):
-    return index.postings(note_chunks(spark, d)).select("path", "seq", "term", F.size("at").cast("long").alias("f"))
+    return index.postings(note_chunks(spark, d), repeated(spark, d)).select("path", "seq", "term", F.size("at").cast("long").alias("f"))
 
 
 @query(f"WITH {BM25} SELECT path, CAST(seq AS INT) AS seq, round(bm25, 6) AS score FROM r ORDER BY round(bm25, 9) DESC, path, seq LIMIT 20")
 def search_bm25_topk(spark, d):
     q = search.Query(TERMS)
-    found, stats = index.matches(*indexed(spark, d), q.phrases)
+    found, stats = index.matches(*indexed(spark, d)[1:], q.phrases)
     return search.ranked(found, q, most=20, stats=stats).select("path", "seq", F.round("bm25", 6).alias("score"))
 
 

@@ -381,3 +381,35 @@ def test_extraction_writes_a_batch_at_once_and_takes_its_work_in_order(spark, cf
     assert writes == [seen * 2 + done * 2] * 2 + [["entity_proposed", "entity_confirmed"]]
     extract.run(spark, cfg, model, skip_commitments=True)
     assert [i.split("_")[1] for i in asked[2]] == ["s4", "s5"] and len(asked) == 3
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_take_no_shuffle_and_repeated_chunks_are_merged(spark):
+    rows = spark.createDataFrame([("a", 1, "x Y x straße, 清掃の", "note"), ("b", 1, None, "note"), ("c", 2, "", "state"), ("a", 2, "x", "note")], "path string, seq int, body string, kind string")
+    assert "Exchange" not in _plan(index.postings(rows))
+    got = {(r.path, r.seq, r.term): (r.dl, r["at"]) for r in index.postings(rows).collect()}
+    words = ["x", "y", "x", "stra", "ß", "e", "清掃", "掃の"]
+    assert got == {("a", 1, w): (8, [i for i, v in enumerate(words) if v == w]) for w in words} | {("a", 2, "x"): (1, [0])}
+    twice = index.postings(rows.union(rows), repeated=True)
+    assert {(r.path, r.seq, r.term): r["at"] for r in twice.collect()}[("a", 1, "x")] == [0, 0, 2, 2] and twice.count() == len(got)
+    for t in ("x Y x straße, 清掃の", "é² Ⅷ 😀😀x İ ΑΣ a_b-c.d", ""):
+        assert text.words_of(one(spark, F.lower("x"), t)) == one(spark, text.tokens("x"), t)
+
+
+def test_search_opens_its_terms_buckets_and_moves_no_bodies(spark, tmp_path):
+    rows = spark.createDataFrame([(f"p{i}", "note" if i % 2 else "state", "", f"router number{i} of the house", 1, 1, 1.0, "") for i in range(40)], "path string, kind string, section string, body string, seq int, nseq int, mtime double, tail string")
+    index.write(rows, str(tmp_path / "made"))
+    chunks, postings, stats = index.tables(spark, tmp_path / "made")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = index.search_frames(chunks, postings, stats, search.Query(["number7", "of the"]), kinds=["note"], min_ratio=0.0)
+        assert "SortMergeJoin" not in _plan(hits)
+        assert [r.path for r in hits.collect()] == ["p7", "p1", "p11", "p13", "p15"] and stats.first().avgdl == 5.0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "bucket" in _plan(index.counted(postings, [["of", "the"]])).split("PartitionFilters")[1].split("]")[0]
+    index.write(rows.withColumn("body", F.lit("?!")), str(tmp_path / "none"))
+    assert index.search_frames(*index.tables(spark, tmp_path / "none"), search.Query(["router"])).count() == 0
